@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 from .bpe import op3_byte_bpe
+from .chat import OP7_SQL, op7_preference_format
+from .fingerprint import op6_fingerprints
+from .lm import op10_pseudo_likelihood
 from .packing import op1_packing
+from .pii import op4_pii
+from .quality import op5_quality_rules
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_pii": op4_pii,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_preference_format": op7_preference_format,
+    "op9_toxicity": op9_toxicity,
+    "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_preference_format": OP7_SQL}
