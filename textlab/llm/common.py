@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,53 @@ def drop_stored(spark: SparkSession) -> None:
 
 def crc32_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+class Bits:
+    """A set of longs as a bitmap of 2**bits places, by their low bits: what was put in is always found, other values sometimes.
+
+    Its size is fixed, so it can be broadcast whatever the number of values; a false hit only
+    costs work in the exact step that follows.
+    """
+
+    def __init__(self, values: DataFrame, column: str, bits: int = 26):
+        self.mask = (1 << bits) - 1
+        block = 15  # bits of a place within its block: a block has 32,768 places
+        places = values.select((F.col(column).bitwiseAND(self.mask)).cast("int").alias("at")).distinct()
+
+        def fill(f: pd.DataFrame) -> pd.DataFrame:
+            own = np.zeros(1 << block, np.uint8)
+            own[f["at"].to_numpy() & ((1 << block) - 1)] = 1
+            return pd.DataFrame({"block": [f["at"].iloc[0] >> block], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+        whole = np.zeros(1 << (bits - 3), np.uint8)
+        size = 1 << (block - 3)
+        for r in places.groupBy(F.shiftright("at", block).alias("b")).applyInPandas(fill, "block int, bits binary").collect():
+            whole[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+        self.any = bool(whole.any())
+        self._sent = values.sparkSession.sparkContext.broadcast(whole)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__.copy()
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        at = (values.astype(np.int64) & self.mask).astype(np.int64)
+        return (self._sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the undirected edges (a, b): root is the component's smallest node.
+
+    Labels spread by the smallest neighbour and by jumping to the label's own label; each round
+    is written to the shared folder.
+    """
+    both = stored(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        near = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
+        jump = labels.select(F.col("node").alias("new"), F.col("root").alias("far"))
+        moved = stored(near.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("to"), "root"))
+        labels = moved.select("node", F.col("to").alias("root"))
+        if moved.filter("to <> root").isEmpty():
+            return labels
