@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-#: Folders written by this driver and not yet dropped.
+#: Folders that this driver has written and not dropped.
 _written: list[str] = []
 
 
@@ -58,12 +58,17 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Deletes what stored() has written so far; call it once all results that read it are written."""
+def written() -> list[str]:
+    return list(_written)
+
+
+def drop_stored(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of stored() once all results that read them are written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+        _written.remove(p)
 
 
 def crc32_mod(column: str, n: int) -> Column:
