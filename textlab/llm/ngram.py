@@ -38,7 +38,7 @@ from .rolling import mixed
 #: Counters of the corpus sketch, and how many a row of it holds.
 SKETCH, BLOCK = 1 << 20, 1 << 12
 #: Random partners that a class is tried against in the first round.
-PARTNERS = 3
+PARTNERS = 2
 PARITY = [f"parity{k}" for k in range(4)]
 
 
@@ -126,7 +126,7 @@ def candidates(docs: DataFrame, sketch: np.ndarray, width: int, least: Threshold
                 yield pd.DataFrame({"element": np.concatenate(list(short.values())).astype(np.int64), "class": np.repeat(list(short), [len(x) for x in short.values()])})
 
     shared = docs.mapInPandas(lists, "element long, class long").groupBy("element").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-    bits = Bits(shared, "element")
+    bits = Bits(shared, "element", 28)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[int] = set()
@@ -149,14 +149,13 @@ def candidates(docs: DataFrame, sketch: np.ndarray, width: int, least: Threshold
     return common.stored(docs.mapInPandas(run, "class long, n long, " + ", ".join(f"{p} long" for p in PARITY) + ", elements array<long>, places array<int>, set binary"))
 
 
-def possible(pairs: DataFrame, least: Threshold) -> DataFrame:
-    """Pairs a, b (structs of class, n, parities, place) that size, place and parity allow."""
-    a, b = F.col("a"), F.col("b")
-    need = least.overlap(a["n"], b["n"])
-    sizes = least.num * F.greatest(a["n"], b["n"]) <= least.den * F.least(a["n"], b["n"])
-    places = 1 + F.least(a["n"] - a["place"] - 1, b["n"] - b["place"] - 1) >= need  # true of the first element that they share
-    parity = sum((F.bit_count(a[p].bitwiseXOR(b[p])) for p in PARITY), F.lit(0)) <= a["n"] + b["n"] - 2 * need
-    return pairs.filter(sizes & places & parity).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+def possible(pairs: DataFrame, light: DataFrame, least: Threshold) -> DataFrame:
+    """Of the pairs (a, b) of classes those that sizes and parities allow."""
+    one = light.select(F.col("class").alias("a"), F.struct("n", *PARITY).alias("x"))
+    two = light.select(F.col("class").alias("b"), F.struct("n", *PARITY).alias("y"))
+    need = least.overlap(F.col("x.n"), F.col("y.n"))
+    parity = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in PARITY), F.lit(0)) <= F.col("x.n") + F.col("y.n") - 2 * need
+    return pairs.join(one, "a").join(two, "b").filter(sized("x.n", "y.n", least) & parity).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: Threshold) -> DataFrame:
@@ -196,21 +195,24 @@ def verified(pairs: DataFrame, sets: DataFrame, least: Threshold) -> DataFrame:
 def links(docs: DataFrame, sketch: np.ndarray, width: int, least: Threshold) -> DataFrame:
     """Edges (a, b) between classes that have the components of all links."""
     found = candidates(docs, sketch, width, least)
-    light = found.select("class", "n", *PARITY, F.arrays_zip("elements", "places").alias("lists")).dropDuplicates(["class"])
-    posted = light.select("class", "n", *PARITY, F.explode("lists").alias("e")).select(F.col("e.elements").alias("element"), F.struct("class", "n", F.col("e.places").alias("place"), *PARITY).alias("a"))
-    posted = common.stored(posted)
-    hubs = posted.groupBy("element").agg(F.min(F.struct(F.xxhash64("element", "a.class").alias("draw"), F.col("a").alias("b"))).alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    stars = posted.join(hubs.select("element", F.col("hub.b").alias("b")), "element").filter("a.class <> b.class")
-    tries = possible(stars, least).withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).filter(F.col("k") <= PARTNERS)
+    light = common.stored(found.select("class", "n", *PARITY, F.arrays_zip("elements", "places").alias("lists")).dropDuplicates(["class"]))
+    posted = light.select("class", F.explode("lists.elements").alias("element"))
+    hubs = posted.groupBy("element").agg(F.min(F.struct(F.xxhash64("element", "class").alias("draw"), F.col("class").alias("hub"))).alias("h"), F.count("*").alias("n")).filter("n > 1").select("element", "h.hub")
+    stars = posted.join(hubs, "element").filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
+    draw = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
+    tries = possible(stars, light, least).withColumn("k", F.row_number().over(draw)).filter(F.col("k") <= PARTNERS)
     first = verified(tries.select("a", "b"), found, least)
     roots = common.components(first)
-    named = posted.join(roots.select(F.col("node").alias("c"), "root"), F.col("a.class") == F.col("c"), "left").select("element", "a", F.coalesce("root", "a.class").alias("root"))
-    named = common.stored(named)
+    named = light.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "n", F.coalesce("root", "class").alias("root"), F.explode("lists").alias("e"))
+    named = named.select("class", "n", "root", F.col("e.elements").alias("element"), F.col("e.places").alias("place"))
     open_lists = named.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("element")
-    left = named.join(open_lists, "element", "left_semi")
-    pairs = left.alias("x").join(left.alias("y"), (F.col("x.element") == F.col("y.element")) & (F.col("x.a.class") < F.col("y.a.class")) & (F.col("x.root") != F.col("y.root")) & sized("x.a.n", "y.a.n", least))
-    pairs = pairs.select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
-    return first.unionByName(verified(possible(pairs, least), found, least))
+    left = common.stored(named.join(open_lists, "element", "left_semi"))
+    need = least.overlap(F.col("x.n"), F.col("y.n"))
+    reach = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need  # true of the first element that they share
+    met = (F.col("x.element") == F.col("y.element")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
+    pairs = left.alias("x").join(left.alias("y"), met & sized("x.n", "y.n", least) & reach)
+    pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    return first.unionByName(verified(possible(pairs, light, least), found, least))
 
 
 def sized(n: str, m: str, least: Threshold) -> Column:
