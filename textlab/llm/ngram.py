@@ -7,11 +7,12 @@ are then probed by binary search for all elements and kept if they reach the ove
 counts over the whole corpus, in a sketch of fixed size; any order gives the same result, a rough
 one only more candidates.
 
-Equal sets are one class, which takes part once. In the first round each class is tried
-against one random member of each of its lists, which joins large groups of near copies without
-forming their pairs; in the second all pairs of a list that are still in different components.
-Candidates are sifted by size, place in the list and parity: sets whose 256 bucket parities
-differ in more places than the sets may differ in elements cannot link.
+Equal sets are one class, which takes part once. In the first rounds each class is tried
+against the lowest members of its lists in several orders, which joins large groups of near copies without
+forming their pairs; in the last all pairs of a list that are still in different components.
+Candidates are sifted by size, place in the list and parity: sets whose bucket parities (two
+buckets for each element at least) differ in more places than the sets may differ in elements
+cannot link.
 
 Elements are 64-bit hashes, and so are classes: among c classes chance merges two with odds of
 c * c / 2 ** 65.
@@ -37,9 +38,11 @@ from .rolling import mixed
 
 #: Counters of the corpus sketch, and how many a row of it holds.
 SKETCH, BLOCK = 1 << 20, 1 << 12
-#: Random partners that a class is tried against in the first round.
-PARTNERS = 2
-PARITY = [f"parity{k}" for k in range(4)]
+#: Orders, each of which gives a list its lowest member, and those that a class is tried against in one of the first rounds. The last order is
+#: random; the others put those first that share most elements, which are the middle of a group of near copies, in finer or rougher grades.
+ORDERS, PARTNERS = 4, 8
+#: Rounds of that kind.
+TURNS = 1
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -77,6 +80,23 @@ class Threshold:
         return self.den * both >= self.num * (n + m - both)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether each of 2**k buckets, at least 256 and two for each element, holds an odd number of elements; as longs."""
+    size = max(256, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def odd_between(x: Column, y: Column) -> Column:
+    """In how many buckets two parities differ; one of twice the size is folded."""
+
+    def folded(long: Column, short: Column) -> Column:
+        halves = F.zip_with(F.slice(long, 1, F.size(short)), F.slice(long, F.size(short) + 1, F.size(short)), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(long) == 2 * F.size(short), halves).otherwise(long)
+
+    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+
+
 def measured(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, class) of every document, and the sketch: how often elements of each counter occur in the corpus."""
 
@@ -141,21 +161,20 @@ def candidates(docs: DataFrame, sketch: np.ndarray, width: int, least: Threshold
                 short = short_lists(s, sent.value, least)
                 at = np.flatnonzero(bits.has(short))
                 if len(at):
-                    odd = np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
-                    rows.append((c, len(s), *odd.tolist(), short[at].astype(np.int64), at.astype(np.int32), s.tobytes()))
+                    rows.append((c, len(s), parities(s), short[at].astype(np.int64), at.astype(np.int32), s.tobytes()))
             if rows:
-                yield pd.DataFrame(rows, columns=["class", "n", *PARITY, "elements", "places", "set"])
+                yield pd.DataFrame(rows, columns=["class", "n", "odd", "elements", "places", "set"])
 
-    return common.stored(docs.mapInPandas(run, "class long, n long, " + ", ".join(f"{p} long" for p in PARITY) + ", elements array<long>, places array<int>, set binary"))
+    return common.stored(docs.mapInPandas(run, "class long, n long, odd array<long>, elements array<long>, places array<int>, set binary"))
 
 
 def possible(pairs: DataFrame, light: DataFrame, least: Threshold) -> DataFrame:
     """Of the pairs (a, b) of classes those that sizes and parities allow."""
-    one = light.select(F.col("class").alias("a"), F.struct("n", *PARITY).alias("x"))
-    two = light.select(F.col("class").alias("b"), F.struct("n", *PARITY).alias("y"))
+    one = light.select(F.col("class").alias("a"), F.struct("n", "odd").alias("x"))
+    two = light.select(F.col("class").alias("b"), F.struct("n", "odd").alias("y"))
     need = least.overlap(F.col("x.n"), F.col("y.n"))
-    parity = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in PARITY), F.lit(0)) <= F.col("x.n") + F.col("y.n") - 2 * need
-    return pairs.join(one, "a").join(two, "b").filter(sized("x.n", "y.n", least) & parity).select("a", "b")
+    parity = F.when(sized("x.n", "y.n", least), odd_between(F.col("x.odd"), F.col("y.odd")) <= F.col("x.n") + F.col("y.n") - 2 * need)
+    return pairs.join(one, "a").join(two, "b").filter(parity).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: Threshold) -> DataFrame:
@@ -195,14 +214,23 @@ def verified(pairs: DataFrame, sets: DataFrame, least: Threshold) -> DataFrame:
 def links(docs: DataFrame, sketch: np.ndarray, width: int, least: Threshold) -> DataFrame:
     """Edges (a, b) between classes that have the components of all links."""
     found = candidates(docs, sketch, width, least)
-    light = common.stored(found.select("class", "n", *PARITY, F.arrays_zip("elements", "places").alias("lists")).dropDuplicates(["class"]))
-    posted = light.select("class", F.explode("lists.elements").alias("element"))
-    hubs = posted.groupBy("element").agg(F.min(F.struct(F.xxhash64("element", "class").alias("draw"), F.col("class").alias("hub"))).alias("h"), F.count("*").alias("n")).filter("n > 1").select("element", "h.hub")
-    stars = posted.join(hubs, "element").filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
-    draw = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
-    tries = possible(stars, light, least).withColumn("k", F.row_number().over(draw)).filter(F.col("k") <= PARTNERS)
-    first = verified(tries.select("a", "b"), found, least)
-    roots = common.components(first)
+    light = common.stored(found.select("class", "n", "odd", F.arrays_zip("elements", "places").alias("lists")).dropDuplicates(["class"]))
+    edges = roots = None
+    for turn in range(TURNS):
+        members = light.select("class", F.col("class").alias("root"), "lists")
+        if roots is not None:
+            members = light.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "lists")
+        posted = members.select("class", "root", F.size("lists").alias("shared"), F.explode("lists.elements").alias("element"))
+        grade = [F.shiftleft(F.shiftright(-F.col("shared"), 2 * k), 2 * k) if k < ORDERS - 1 else F.lit(0) for k in range(ORDERS)]
+        lowest = [F.min(F.struct(grade[k].alias("grade"), F.xxhash64("class", F.lit(ORDERS * turn + k)).alias("draw"), F.col("class").alias("hub"), F.col("root").alias("hub_root"))).alias(f"h{k}") for k in range(ORDERS)]
+        hubs = posted.groupBy("element").agg(*lowest, F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        hubs = hubs.select("element", F.array_distinct(F.array(*[F.struct(f"h{k}.hub", f"h{k}.hub_root") for k in range(ORDERS)])).alias("hubs"))
+        stars = posted.join(hubs, "element").select("class", "root", F.explode("hubs").alias("h")).filter("root <> h.hub_root").select(F.col("class").alias("a"), F.col("h.hub").alias("b")).distinct()
+        draw = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
+        tries = possible(stars, light, least).withColumn("k", F.row_number().over(draw)).filter(F.col("k") <= PARTNERS)
+        more = verified(tries.select("a", "b"), found, least)
+        edges = more if edges is None else edges.unionByName(more)
+        roots = common.components(edges)
     named = light.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "n", F.coalesce("root", "class").alias("root"), F.explode("lists").alias("e"))
     named = named.select("class", "n", "root", F.col("e.elements").alias("element"), F.col("e.places").alias("place"))
     open_lists = named.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("element")
@@ -212,7 +240,7 @@ def links(docs: DataFrame, sketch: np.ndarray, width: int, least: Threshold) ->
     met = (F.col("x.element") == F.col("y.element")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
     pairs = left.alias("x").join(left.alias("y"), met & sized("x.n", "y.n", least) & reach)
     pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    return first.unionByName(verified(possible(pairs, light, least), found, least))
+    return edges.unionByName(verified(possible(pairs, light, least), found, least))
 
 
 def sized(n: str, m: str, least: Threshold) -> Column:
