@@ -67,7 +67,7 @@ def distribution(df: DataFrame, cluster: str, dimension: str) -> DataFrame:
 
 
 def crosstab(df: DataFrame, cluster: str, dimension: str, values: list) -> DataFrame:
-    return df.groupBy(cluster).pivot(dimension, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(cluster).pivot(dimension, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def silhouette(df: DataFrame, cluster: str, key: str, vector: str = "embedding", block: int = 1024) -> DataFrame:

@@ -2,11 +2,531 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import evidence_found, visible_length
+from ..functions.vectors import norm
+from ..operators import batches, chunking, cleaning, clusters, html, labels, tfidf, validate
+from ..streaming import stateless
+from .config import ChunkSpec, CleaningRules, Indicator, Taxonomy, TfidfSpec, TokenSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+TAXONOMY = Taxonomy({"quality": ("0", "1"), "toxic": ("0", "1")})
+PHASES = {"pre": "before", "at": "after", "post": "after"}
+PATTERNS = ["thank", "the of", "worthless"]
+INDICATORS = [
+    Indicator("quality", "good", "en", "type = 'en'", "quality = '1'"),
+    Indicator("quality", "good", "all", "true", "quality = '1'"),
+    Indicator("toxicity", "toxic among bad", "all", "quality = '0'", "toxic = '1'"),
+    Indicator("toxicity", "none such", "xx", "type = 'xx'", "toxic = '1'"),
+]
+RULES = [("toxic = '1' AND quality = '1'", "toxic but good"), ("type <> 'en' AND quality = '0'", "bad and not English")]
+EXAMPLES = {"good": "quality = '1'", "bad": "quality = '0'", "toxic": "toxic = '1'"}
+CLEANING = CleaningRules(boilerplate=("All rights reserved.",), reference_markers=("References",), end_mark="End")
+CHUNKS = ChunkSpec(separator=r"\n", joint="\n")
+TFIDF, TOKENS = TfidfSpec(), TokenSpec(stopwords=frozenset({"the", "of", "de", "la"}), preserved=frozenset({"a"}))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks; language and source make the document, the source's number the period."""
+    n = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat_ws("/", "lang", "source").alias("doc"), F.col("lang").alias("type"), F.when(n < 7, "pre").when(n < 14, "at").otherwise("post").alias("period"), "text", F.col("n_chars").alias("char_count"))
+
+
+def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"))
+
+
+def merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = chunk_rows(spark, sf_dir).join(label_rows(spark, sf_dir), "chunk_id")
+    return labels.with_phase(df, PHASES).withColumn("evidence", F.regexp_extract("text", r"^[^.]*\.", 0))
+
+
+CHUNK_SQL = """chunks AS (
+  SELECT doc_id AS chunk_id, lang || '/' || source AS doc, lang AS type,
+    CASE WHEN CAST(regexp_extract(source, '[0-9]+') AS INT) < 7 THEN 'pre' WHEN CAST(regexp_extract(source, '[0-9]+') AS INT) < 14 THEN 'at' ELSE 'post' END AS period,
+    text, n_chars AS char_count FROM documents)"""
+MERGED_SQL = CHUNK_SQL + """, merged AS (
+  SELECT c.*, CAST(l.quality AS VARCHAR) AS quality, CAST(l.toxic AS VARCHAR) AS toxic, CASE WHEN period = 'pre' THEN 'before' ELSE 'after' END AS phase,
+    regexp_extract(c.text, '^[^.]*\\.') AS evidence
+  FROM chunks c JOIN labels l ON l.doc_id = c.chunk_id),
+tax(label_field, label) AS (VALUES ('quality', '0'), ('quality', '1'), ('toxic', '0'), ('toxic', '1')),
+long AS (SELECT *, 'quality' AS label_field, quality AS label FROM merged UNION ALL SELECT *, 'toxic', toxic FROM merged)"""
+
+
+def _summary_sql(dimension: str | None) -> str:
+    g = dimension or "'overall'"
+    return f"""WITH {MERGED_SQL}, groups AS (SELECT {g} AS "group", count(*) AS n FROM merged GROUP BY 1),
+    k AS (SELECT {g} AS "group", label_field, label, count(*) AS n FROM long GROUP BY 1, 2, 3)
+    SELECT '{dimension or "overall"}' AS dimension, g."group", t.label_field, t.label, coalesce(k.n, 0) AS count, round(coalesce(k.n, 0) / g.n, 6) AS proportion, 'chunk_weighted_supplementary' AS weighting_method
+    FROM groups g CROSS JOIN tax t LEFT JOIN k ON k."group" = g."group" AND k.label_field = t.label_field AND k.label = t.label"""
+
+
+@query(_summary_sql(None))
+def label_summary_overall(spark, sf_dir):
+    return labels.label_summary(merged_rows(spark, sf_dir), TAXONOMY)
+
+
+@query(_summary_sql("type"))
+def label_summary_by_type(spark, sf_dir):
+    return labels.label_summary(merged_rows(spark, sf_dir), TAXONOMY, "type")
+
+
+@query(_summary_sql("phase"))
+def label_summary_by_phase(spark, sf_dir):
+    return labels.label_summary(merged_rows(spark, sf_dir), TAXONOMY, "phase")
+
+
+@query(_summary_sql("doc"))
+def label_summary_by_document(spark, sf_dir):
+    return labels.label_summary(merged_rows(spark, sf_dir), TAXONOMY, "doc")
+
+
+LEVEL_SQL = f"""WITH {MERGED_SQL}, docs AS (SELECT doc, min(type) AS type, min_by(phase, chunk_id) AS phase, count(*) AS n FROM merged GROUP BY doc),
+k AS (SELECT doc, label_field, label, count(*) AS n FROM long GROUP BY 1, 2, 3),
+levels AS (SELECT d.doc, d.type, d.phase, d.n AS document_chunk_count, t.label_field, t.label, coalesce(k.n, 0) AS count, coalesce(k.n, 0) / d.n AS proportion
+FROM docs d CROSS JOIN tax t LEFT JOIN k ON k.doc = d.doc AND k.label_field = t.label_field AND k.label = t.label)"""
+
+
+@query(f"{LEVEL_SQL} SELECT doc, type, phase, document_chunk_count, label_field, label, count, round(proportion, 6) AS proportion, 'within_document' AS weighting_method FROM levels")
+def document_level_proportions(spark, sf_dir):
+    return labels.document_level(merged_rows(spark, sf_dir), TAXONOMY, "doc", ["type", "phase"])
+
+
+def _balanced_sql(dimension: str) -> str:
+    return f"""{LEVEL_SQL} SELECT '{dimension}' AS dimension, {dimension} AS "group", label_field, label, count(DISTINCT doc) AS document_count, round(avg(proportion), 6) AS proportion, 'document_balanced' AS weighting_method FROM levels GROUP BY {dimension}, label_field, label"""
+
+
+@query(_balanced_sql("type"))
+def document_balanced_by_type(spark, sf_dir):
+    return labels.document_balanced(document_level_proportions(spark, sf_dir), "doc", "type")
+
+
+@query(_balanced_sql("phase"))
+def document_balanced_by_phase(spark, sf_dir):
+    return labels.document_balanced(document_level_proportions(spark, sf_dir), "doc", "phase")
+
+
+def _joint_sql(dimension: str) -> str:
+    return f"""WITH {MERGED_SQL}, pairs AS (SELECT a.label AS first_label, b.label AS second_label FROM tax a, tax b WHERE a.label_field = 'quality' AND b.label_field = 'toxic'),
+    docs AS (SELECT {dimension} AS "group", doc, count(*) AS chunks FROM merged GROUP BY 1, 2),
+    k AS (SELECT {dimension} AS "group", doc, quality, toxic, count(*) AS n FROM merged GROUP BY ALL)
+    SELECT '{dimension}' AS dimension, d."group", 'quality' AS first_label_field, first_label, second_label, first_label || ' × ' || second_label AS label_pair, CAST(sum(coalesce(k.n, 0)) AS BIGINT) AS count,
+      round(sum(coalesce(k.n, 0)) / sum(chunks), 6) AS chunk_weighted_proportion, round(avg(coalesce(k.n, 0) / chunks), 6) AS document_balanced_proportion, count(DISTINCT d.doc) AS document_count
+    FROM docs d CROSS JOIN pairs p LEFT JOIN k ON k."group" = d."group" AND k.doc = d.doc AND k.quality = first_label AND k.toxic = second_label GROUP BY d."group", first_label, second_label"""
+
+
+@query(_joint_sql("type"))
+def joint_table_by_type(spark, sf_dir):
+    return labels.joint_table(merged_rows(spark, sf_dir), TAXONOMY, "quality", "toxic", "doc", "type")
+
+
+@query(_joint_sql("phase"))
+def joint_table_by_phase(spark, sf_dir):
+    return labels.joint_table(merged_rows(spark, sf_dir), TAXONOMY, "quality", "toxic", "doc", "phase")
+
+
+def _indicator_sql() -> str:
+    rows = []
+    for s in INDICATORS:
+        inside = f"(SELECT doc, CASE WHEN {s.condition} THEN 1.0 ELSE 0.0 END AS k FROM merged WHERE {s.subset})"
+        for value, way in ((f"(SELECT avg(k) FROM {inside})", "chunk_weighted_supplementary"), (f"(SELECT avg(m) FROM (SELECT avg(k) AS m FROM {inside} GROUP BY doc))", "document_balanced")):
+            rows.append(f"SELECT '{s.narrative}' AS narrative, '{s.name}' AS indicator, '{s.group}' AS \"group\", round(coalesce({value}, 0.0), 6) AS value, '{way}' AS weighting_method, '' AS interpretation_note")
+    return f"WITH {MERGED_SQL} " + " UNION ALL ".join(rows)
+
+
+@query(_indicator_sql())
+def indicator_table(spark, sf_dir):
+    return labels.indicators(merged_rows(spark, sf_dir), INDICATORS, "doc")
+
+
+@query(f"""WITH {MERGED_SQL}, g AS (SELECT CASE WHEN grouping(type) = 0 THEN 'type' WHEN grouping(period) = 0 THEN 'period' ELSE 'doc' END AS group_field, coalesce(type, period, doc) AS "group", label_field AS dimension, label, count(*) AS count
+FROM long GROUP BY GROUPING SETS ((type, label_field, label), (period, label_field, label), (doc, label_field, label)))
+SELECT group_field, "group", dimension, label, count, CAST(sum(count) OVER w AS BIGINT) AS n_chunks, round(count / sum(count) OVER w, 4) AS proportion FROM g WINDOW w AS (PARTITION BY group_field, "group", dimension)""")
+def grouping_sets_summary(spark, sf_dir):
+    return labels.grouping_sets_summary(merged_rows(spark, sf_dir), TAXONOMY, ["type", "period", "doc"])
+
+
+@query(f"""WITH s AS ({_summary_sql("type")}) SELECT label_field, label, {", ".join(f"coalesce(max(CASE WHEN \"group\" = '{g}' THEN proportion END), 0) AS {g}" for g in ("en", "de", "fr", "es"))} FROM s GROUP BY 1, 2""")
+def label_pivot(spark, sf_dir):
+    return labels.label_pivot(rounded(label_summary_by_type(spark, sf_dir)), ["en", "de", "fr", "es"])
+
+
+@query(f"""WITH {CHUNK_SQL}, g AS (SELECT type AS "group", min(chunk_id) AS first_row FROM chunks GROUP BY 1) SELECT "group", first_row, CAST(row_number() OVER (ORDER BY CASE "group" WHEN 'fr' THEN 1 WHEN 'en' THEN 2 ELSE 3 END, first_row) AS INT) AS display_order FROM g""")
+def group_order(spark, sf_dir):
+    groups = chunk_rows(spark, sf_dir).groupBy(F.col("type").alias("group")).agg(F.min("chunk_id").alias("first_row"))
+    return labels.ordered_groups(groups, ["fr", "en"])
+
+
+# Joins and validation
+
+
+@query(f"WITH {CHUNK_SQL} SELECT c.chunk_id, c.doc, CAST(l.quality AS VARCHAR) AS quality, CAST(l.toxic AS VARCHAR) AS toxic FROM chunks c LEFT JOIN labels l ON l.doc_id = c.chunk_id")
+def merge_one_to_one(spark, sf_dir):
+    return labels.merge_one_to_one(chunk_rows(spark, sf_dir).select("chunk_id", "doc"), label_rows(spark, sf_dir), "chunk_id")
+
+
+@query("SELECT 'no label' AS error, CAST(doc_id AS VARCHAR) AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_labels(spark, sf_dir):
+    return validate.missing_keys(chunk_rows(spark, sf_dir), label_rows(spark, sf_dir), "chunk_id", "no label")
+
+
+@query("SELECT 'no chunk' AS error, CAST(doc_id AS VARCHAR) AS key FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def extra_labels(spark, sf_dir):
+    return validate.missing_keys(label_rows(spark, sf_dir), chunk_rows(spark, sf_dir).filter("type = 'en'"), "chunk_id", "no chunk")
+
+
+@query("SELECT 'duplicate key' AS error, CAST(user_id AS VARCHAR) AS key FROM events GROUP BY user_id HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return validate.duplicates(read(spark, sf_dir, "events"), "user_id")
+
+
+@query(f"WITH {CHUNK_SQL} SELECT 'value of type not allowed' AS error, CAST(chunk_id AS VARCHAR) AS key FROM chunks WHERE type NOT IN ('en', 'de')")
+def values_outside(spark, sf_dir):
+    return validate.outside(chunk_rows(spark, sf_dir), "chunk_id", "type", ["en", "de"])
+
+
+@query(f"WITH {MERGED_SQL} SELECT 'label without evidence' AS error, CAST(chunk_id AS VARCHAR) AS key FROM merged WHERE quality = '0' AND trim(evidence) = ''")
+def labels_without_evidence(spark, sf_dir):
+    return validate.needs_evidence(merged_rows(spark, sf_dir), "chunk_id", F.col("quality") == "0")
+
+
+@query(f"""WITH {CHUNK_SQL}, c AS (SELECT *, char_count - CASE WHEN chunk_id % 50 = 0 THEN 1 ELSE 0 END AS k FROM chunks)
+SELECT 'wrong char_count' AS error, CAST(chunk_id AS VARCHAR) AS key FROM c WHERE length(text) <> k UNION ALL
+SELECT 'boilerplate: license', CAST(chunk_id AS VARCHAR) FROM c WHERE contains(text, 'license')""")
+def chunk_validation_errors(spark, sf_dir):
+    rows = chunk_rows(spark, sf_dir).withColumn("char_count", F.col("char_count") - F.when(F.col("chunk_id") % 50 == 0, 1).otherwise(0))
+    return validate.chunk_errors(rows, rows.select("doc").distinct(), "doc", ["type", "period"], ["license"])
+
+
+@query("""WITH d AS (SELECT 'D' || doc_id AS doc_id, 'doc_' || doc_id || '.txt' AS name, lang AS type, '' AS speaker FROM documents),
+m AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'd' || doc_id ELSE '' END AS doc_id, 'path/DOC_' || doc_id || '.txt' AS local_path, source AS speaker, CASE WHEN doc_id % 2 = 0 THEN 'talk' ELSE ' ' END AS type FROM documents WHERE doc_id < 300 AND doc_id % 5 <> 0)
+SELECT d.doc_id, d.name, coalesce(nullif(trim(m.type), ''), d.type) AS type, coalesce(nullif(trim(m.speaker), ''), d.speaker) AS speaker
+FROM d LEFT JOIN m ON upper(m.local_path) = 'PATH/' || upper(d.name)""")
+def metadata_lookup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select(F.concat(F.lit("D"), "doc_id").alias("doc_id"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("name"), F.col("lang").alias("type"), F.lit("").alias("speaker"))
+    known = docs.filter("doc_id < 300 AND doc_id % 5 <> 0")
+    meta = known.select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("d"), "doc_id")).otherwise("").alias("doc_id"), F.concat(F.lit("path/DOC_"), "doc_id", F.lit(".txt")).alias("local_path"), F.col("source").alias("speaker"), F.when(F.col("doc_id") % 2 == 0, "talk").otherwise(" ").alias("type"))
+    return chunking.with_metadata(rows, meta, ["type", "speaker"], ["local_path"])
+
+
+# Cleaning and chunking
+
+
+@query(r"""WITH l AS (SELECT doc_id, length(text) AS n, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x), '[ \t]+', ' ', 'g')) AS lines FROM documents),
+k AS (SELECT doc_id, n, len(lines) AS total, list_filter(lines, lambda x: x = '' OR NOT (regexp_matches(x, '^[-–—\s]*[0-9]+[-–—\s]*$') OR regexp_matches(x, '^[-=_*~·•.\s]+$') OR regexp_matches(x, '^[^\p{L}\p{N}_\s]+$') OR contains(x, 'Copyright') OR contains(x, '©') OR x = 'All rights reserved.')) AS kept FROM l),
+b AS (SELECT doc_id, n, total, array_to_string(kept, chr(10)) AS body FROM k)
+SELECT doc_id, CASE WHEN body = '' THEN '' ELSE body || chr(10) END AS cleaned, CAST(greatest(total - CASE WHEN body = '' THEN 0 ELSE len(string_split(body, chr(10))) END, 0) AS INT) AS removed_lines, CAST(greatest(n - length(CASE WHEN body = '' THEN '' ELSE body || chr(10) END), 0) AS INT) AS removed_chars, CAST(CASE WHEN body = '' THEN 0 ELSE 1 END AS INT) AS paragraph_count FROM b""")
+def clean_documents(spark, sf_dir):
+    return cleaning.clean(read(spark, sf_dir, "documents").select("doc_id", "text"), CLEANING, unify=False).drop("text")
+
+
+@query()
+def clean_documents_nfkc(spark, sf_dir):
+    return cleaning.clean(read(spark, sf_dir, "documents").select("doc_id", "text"), CLEANING).drop("text")
+
+
+@query(r"SELECT page_id, array_to_string(list_filter(list_transform(string_split(html, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), chr(10)) AS block FROM pages")
+def tidy_blocks(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", cleaning.tidy_block(F.col("html")).alias("block"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(source), 'src1') THEN 'statement' WHEN contains(lower(source), '2') THEN 'speech' ELSE 'other' END AS kind FROM documents")
+def document_kinds(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", cleaning.kind_of(F.col("source"), {"src1": "statement", "2": "speech"}, "other").alias("kind"))
+
+
+@query("""WITH n AS (SELECT doc_id, 'd' || doc_id || '_2024' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '15_talk.txt' AS name FROM documents)
+SELECT doc_id, 'D' || doc_id AS inferred_id, '2024-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-15' AS date, CASE WHEN doc_id % 12 + 1 < 6 THEN 'pre' WHEN doc_id % 12 + 1 = 6 THEN 'at' ELSE 'post' END AS period FROM n""")
+def inferred_metadata(spark, sf_dir):
+    name = F.concat(F.lit("d"), F.col("doc_id"), F.lit("_2024"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("15_talk.txt"))
+    date = chunking.iso_date(name)
+    return read(spark, sf_dir, "documents").select("doc_id", chunking.doc_id(name).alias("inferred_id"), date.alias("date"), chunking.period(date, "2024-06-15").alias("period"))
+
+
+def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), "text")
+    return chunking.chunks(docs, CHUNKS, ["doc_id"])
+
+
+@query()
+def chunks(spark, sf_dir):
+    return chunked(spark, sf_dir)
+
+
+@query()
+def chunk_summary(spark, sf_dir):
+    return chunking.chunk_summary(chunked(spark, sf_dir), "doc_id", CHUNKS)
+
+
+@query(r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents)
+SELECT doc_id, count(*) AS paragraphs, CAST(sum(CASE WHEN length(p) <= 100 AND NOT regexp_matches(p, '[.!?。！？]') THEN 1 ELSE 0 END) AS BIGINT) AS headings FROM (SELECT doc_id, regexp_replace(p, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS p FROM p) WHERE p <> '' GROUP BY doc_id""")
+def heading_flags(spark, sf_dir):
+    p = read(spark, sf_dir, "documents").select("doc_id", F.explode(chunking.paragraphs(F.col("text"), CHUNKS)).alias("p"))
+    return p.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.count_if(chunking.is_heading(F.col("p"), CHUNKS)).alias("headings"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '(?s).+?[.!?。！？]|.+$')) AS sentences FROM documents")
+def sentence_split(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(chunking.sentences(F.col("text"), CHUNKS)).cast("long").alias("sentences"))
+
+
+# Tokens and TF-IDF
+
+
+def fitted(spark: SparkSession, sf_dir: str, groups: list[str]) -> tfidf.Tfidf:
+    return tfidf.fit(chunk_rows(spark, sf_dir), TFIDF, TOKENS, "doc", groups)
+
+
+TOKEN_SQL = CHUNK_SQL + r""", raw AS (SELECT chunk_id, doc, type, period, unnest(regexp_extract_all(text, '\p{L}+')) AS term FROM chunks),
+kept AS (SELECT * FROM raw WHERE term NOT IN ('the', 'of', 'de', 'la') AND (term = 'a' OR NOT (regexp_matches(term, '^(https?://|www\.)') OR length(term) = 1))),
+counts AS (SELECT chunk_id, doc, type, period, term, count(*) AS n FROM kept GROUP BY ALL)"""
+TFIDF_SQL = TOKEN_SQL + """, total AS (SELECT count(*) AS total FROM chunks),
+vocabulary AS (SELECT term, count(*) AS df, any_value(total) AS total, ln((1 + any_value(total)) / (1 + count(*))) + 1 AS idf FROM counts, total GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.85 * any_value(total)),
+raw_w AS (SELECT c.*, (1 + ln(n)) * idf AS u FROM counts c JOIN vocabulary USING (term)),
+weights AS (SELECT chunk_id, doc, type, period, term, u / sqrt(sum(u * u) OVER (PARTITION BY chunk_id)) AS weight FROM raw_w),
+sizes AS (SELECT doc, count(*) AS chunk_count FROM chunks GROUP BY doc)"""
+
+
+def _group_sql(group: str) -> str:
+    return TFIDF_SQL + f""", scores AS (SELECT doc, {group} AS g, term, sum(weight) / any_value(chunk_count) AS score, any_value(chunk_count) AS chunk_count FROM weights JOIN sizes USING (doc) GROUP BY doc, {group}, term),
+    gs AS (SELECT {group} AS g, count(*) AS chunks, count(DISTINCT doc) AS documents FROM chunks GROUP BY 1),
+    groups AS (SELECT g AS "group", term, sum(score) / any_value(documents) AS document_balanced_score, sum(score * chunk_count) / any_value(chunks) AS chunk_weighted_score FROM scores JOIN gs USING (g) GROUP BY g, term)"""
+
+
+@query(f"WITH {TOKEN_SQL} SELECT chunk_id, doc, term, n FROM counts")
+def token_counts(spark, sf_dir):
+    return fitted(spark, sf_dir, []).counts
+
+
+@query(r"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda t: t NOT IN ('the', 'of', 'de', 'la') AND NOT (regexp_matches(t, '^[0-9０-９.,%％]+$') OR regexp_matches(t, '^[A-Za-zＡ-Ｚａ-ｚ]$')))) AS BIGINT) AS nouns FROM documents""")
+def noun_style_tokens(spark, sf_dir):
+    spec = TokenSpec(pattern=r"[\p{L}\p{N}]+", stopwords=TOKENS.stopwords)
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(tfidf.tokens(F.col("text"), spec, tfidf.keep_noun)).cast("long").alias("nouns"))
+
+
+@query(f"WITH {TFIDF_SQL} SELECT term, df, total, round(idf, 6) AS idf FROM vocabulary")
+def vocabulary(spark, sf_dir):
+    return fitted(spark, sf_dir, []).vocabulary
+
+
+@query(f"WITH {TFIDF_SQL} SELECT chunk_id, doc, term, round(weight, 6) AS weight FROM weights")
+def tfidf_weights(spark, sf_dir):
+    return fitted(spark, sf_dir, []).weights
+
+
+@query(f"WITH {TFIDF_SQL} SELECT doc, term, chunk_count, round(sum(weight) / chunk_count, 6) AS score FROM weights JOIN sizes USING (doc) GROUP BY doc, term, chunk_count")
+def tfidf_document_scores(spark, sf_dir):
+    return tfidf.document_scores(fitted(spark, sf_dir, []), "doc", [])
+
+
+def _scores(spark: SparkSession, sf_dir: str, group: str) -> DataFrame:
+    return tfidf.group_scores(fitted(spark, sf_dir, [group]), "doc", group)
+
+
+@query(f"WITH {_group_sql('type')} SELECT \"group\", term, round(document_balanced_score, 6) AS document_balanced_score, round(chunk_weighted_score, 6) AS chunk_weighted_score FROM groups")
+def tfidf_group_scores(spark, sf_dir):
+    return _scores(spark, sf_dir, "type")
+
+
+def _top_sql(group: str) -> str:
+    return f"""WITH {_group_sql(group)}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "group" ORDER BY round(document_balanced_score, 9) DESC, term) AS INT) AS rank FROM groups)
+    SELECT "group", rank, term, round(document_balanced_score, 6) AS document_balanced_score, round(chunk_weighted_score, 6) AS chunk_weighted_score FROM r WHERE rank <= 30"""
+
+
+@query(_top_sql("type"))
+def tfidf_top_terms_by_type(spark, sf_dir):
+    return tfidf.top_terms(_scores(spark, sf_dir, "type"), TFIDF.top)
+
+
+@query(_top_sql("period"))
+def tfidf_top_terms_by_period(spark, sf_dir):
+    return tfidf.top_terms(_scores(spark, sf_dir, "period"), TFIDF.top)
+
+
+CONTRAST_SQL = f"""WITH {_group_sql('type')}, c AS (SELECT term, coalesce(max(CASE WHEN "group" = 'en' THEN document_balanced_score END), 0) AS left_score, coalesce(max(CASE WHEN "group" = 'fr' THEN document_balanced_score END), 0) AS right_score FROM groups WHERE "group" IN ('en', 'fr') GROUP BY term),
+d AS (SELECT *, left_score - right_score AS difference FROM c)"""
+
+
+@query(f"{CONTRAST_SQL} SELECT term, round(left_score, 6) AS left_score, round(right_score, 6) AS right_score, round(difference, 6) AS difference, CASE WHEN difference >= 0 THEN 'en' ELSE 'fr' END AS favored_group FROM d")
+def tfidf_contrast(spark, sf_dir):
+    return tfidf.contrast(_scores(spark, sf_dir, "type"), "en", "fr")
+
+
+@query(f"""{CONTRAST_SQL}, p AS ((SELECT * FROM d WHERE difference > 0 ORDER BY round(difference, 9) DESC, term LIMIT 8) UNION ALL (SELECT * FROM d WHERE difference < 0 ORDER BY round(difference, 9), term LIMIT 8))
+SELECT term, round(left_score, 6) AS left_score, round(right_score, 6) AS right_score, round(difference, 6) AS difference, CASE WHEN difference >= 0 THEN 'en' ELSE 'fr' END AS favored_group FROM p""")
+def tfidf_presentation_terms(spark, sf_dir):
+    return tfidf.presentation_terms(tfidf_contrast(spark, sf_dir), 8)
+
+
+# Rules and batches
+
+VISIBLE = r"length(regexp_replace(evidence, '[\s\p{Z}]+', '', 'g'))"
+
+
+@query(rf"WITH {MERGED_SQL} SELECT chunk_id, {VISIBLE} > 0 AS found, CAST({VISIBLE} AS INT) AS visible FROM merged")
+def evidence_check(spark, sf_dir):
+    return merged_rows(spark, sf_dir).select("chunk_id", evidence_found(F.col("evidence"), F.col("text")).alias("found"), visible_length(F.col("evidence")).alias("visible"))
+
+
+CEREMONIAL = "(" + " OR ".join(f"contains(text, '{p}')" for p in PATTERNS) + ")"
+
+
+@query(rf"""WITH {MERGED_SQL}, m AS (SELECT *, count(*) OVER (PARTITION BY quality, toxic) AS same FROM merged),
+r AS (SELECT chunk_id, concat_ws(' | ', {", ".join(f"CASE WHEN {c} THEN '{r}' END" for c, r in RULES)}, CASE WHEN {VISIBLE} < 5 THEN 'short evidence' END, CASE WHEN {VISIBLE} = 0 THEN 'evidence not found' END, CASE WHEN same < 2 THEN 'rare combination' END, CASE WHEN {CEREMONIAL} THEN 'ceremonial or regional' END) AS review_reason FROM m)
+SELECT chunk_id, review_reason FROM r WHERE review_reason <> ''""")
+def review_candidates(spark, sf_dir):
+    rules = [(c, r) for c, r in RULES]
+    return labels.review_candidates(merged_rows(spark, sf_dir), ["quality", "toxic"], [(r, c) for c, r in rules], PATTERNS).select("chunk_id", "review_reason")
+
+
+_BEST = f"CAST({CEREMONIAL} AS INT), CASE WHEN {VISIBLE} > 0 THEN 1 ELSE 0 END DESC, {VISIBLE} DESC, abs(char_count - 250), chunk_id"
+
+
+@query(rf"""WITH {MERGED_SQL}, s AS ({" UNION ALL ".join(f"SELECT '{n}' AS example_set, * FROM merged WHERE {c}" for n, c in EXAMPLES.items())}),
+o AS (SELECT *, row_number() OVER (PARTITION BY example_set, text ORDER BY {_BEST}) AS k FROM s),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY example_set ORDER BY {_BEST}) AS INT) AS rank FROM o WHERE k = 1)
+SELECT example_set, rank, chunk_id FROM r WHERE rank <= 3""")
+def representative_examples(spark, sf_dir):
+    return labels.representative_examples(merged_rows(spark, sf_dir), EXAMPLES, PATTERNS).select("example_set", "rank", "chunk_id")
+
+
+@query(f"WITH {CHUNK_SQL} SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) AS row, CAST(floor((row_number() OVER (ORDER BY chunk_id) - 1) / 15) + 1 AS BIGINT) AS batch_id FROM chunks")
+def annotation_batches(spark, sf_dir):
+    return batches.batches(chunk_rows(spark, sf_dir).select("chunk_id"), "chunk_id").select("chunk_id", F.col("row").cast("long").alias("row"), F.col("batch_id").cast("long").alias("batch_id"))
+
+
+@query(f"WITH {CHUNK_SQL} SELECT chunk_id, doc, '' AS quality, '' AS toxic FROM chunks")
+def label_template(spark, sf_dir):
+    return batches.template(chunk_rows(spark, sf_dir), ["chunk_id", "doc"], ["quality", "toxic"])
+
+
+@query(f"""WITH s AS ({_summary_sql("type")}) SELECT label_field, label, replace("group", '|', '\\|') AS "group", printf('%.3f', proportion) AS cell FROM s""")
+def report_cells(spark, sf_dir):
+    df = label_summary_by_type(spark, sf_dir)
+    return df.select("label_field", "label", batches.cell(F.col("group"), "string").alias("group"), batches.cell(F.round("proportion", 6), "double").alias("cell"))
+
+
+# Clusters: the given label is the cluster, the last digit of the id the other dimension
+
+VECTOR_SQL = "v AS (SELECT vec_id, label, vec_id % 4 AS part, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").withColumn("part", F.col("vec_id") % 4)
+
+
+@query(f"WITH {VECTOR_SQL} SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM v")
+def embedding_norms(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", norm(F.transform("embedding", lambda x: x.cast("double"))).alias("norm"))
+
+
+@query(f"WITH {VECTOR_SQL} SELECT label, count(*) AS size FROM v GROUP BY label")
+def cluster_sizes(spark, sf_dir):
+    return clusters.sizes(vectors(spark, sf_dir), ["label"])
+
+
+CENTROID_SQL = f"""WITH {VECTOR_SQL}, x AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v), c AS (SELECT label, i, avg(x) AS x FROM x GROUP BY label, i)"""
+
+
+@query(f"{CENTROID_SQL} SELECT label, CAST(i - 1 AS INT) AS i, round(x, 6) AS x FROM c")
+def cluster_centroids(spark, sf_dir):
+    return clusters.centroids(vectors(spark, sf_dir), ["label"]).select("label", F.posexplode("centroid").alias("i", "x"))
+
+
+@query(f"""{CENTROID_SQL}, m AS (SELECT label, list(x ORDER BY i) AS centroid FROM c GROUP BY label), d AS (SELECT v.label, vec_id, list_distance(e, centroid) AS distance_to_centroid FROM v JOIN m USING (label)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY round(distance_to_centroid, 9), vec_id) AS INT) AS rank FROM d) SELECT label, rank, vec_id, round(distance_to_centroid, 6) AS distance_to_centroid FROM r WHERE rank <= 5""")
+def cluster_representatives(spark, sf_dir):
+    return clusters.representatives(vectors(spark, sf_dir), "label", "vec_id")
+
+
+@query(f"WITH {VECTOR_SQL}, k AS (SELECT label, part, count(*) AS chunk_count FROM v GROUP BY 1, 2) SELECT *, round(chunk_count / sum(chunk_count) OVER (PARTITION BY label), 6) AS proportion_within_cluster FROM k")
+def cluster_distribution(spark, sf_dir):
+    return clusters.distribution(vectors(spark, sf_dir), "label", "part")
+
+
+@query(f"WITH {VECTOR_SQL} SELECT label, {', '.join(f'count(*) FILTER (part = {k}) AS p{k}' for k in range(4))} FROM v GROUP BY label")
+def cluster_crosstab(spark, sf_dir):
+    out = clusters.crosstab(vectors(spark, sf_dir), "label", "part", [0, 1, 2, 3])
+    return out.select("label", *[F.col(str(k)).alias(f"p{k}") for k in range(4)])
+
+
+@query(f"""WITH {VECTOR_SQL}, doc AS (SELECT part, vec_id % 20 AS doc, count(*) AS n FROM v GROUP BY 1, 2), labels_ AS (SELECT DISTINCT label FROM v), k AS (SELECT vec_id % 20 AS doc, label, count(*) AS n FROM v GROUP BY 1, 2)
+SELECT 'part' AS dimension, part AS "group", 'label' AS label_field, CAST(l.label AS VARCHAR) AS label, count(DISTINCT doc.doc) AS document_count, round(avg(coalesce(k.n, 0) / doc.n), 6) AS proportion, 'document_balanced' AS weighting_method
+FROM doc CROSS JOIN labels_ l LEFT JOIN k ON k.doc = doc.doc AND k.label = l.label GROUP BY part, l.label""")
+def cluster_balanced_distribution(spark, sf_dir):
+    df = vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), "part", (F.col("vec_id") % 20).alias("doc"), F.col("label").cast("string").alias("label"))
+    found = Taxonomy({"label": tuple(r[0] for r in df.select("label").distinct().orderBy("label").limit(1000).collect())})
+    return labels.document_balanced(labels.document_level(df, found, "doc", ["part"]), "doc", "part")
+
+
+SILHOUETTE_SQL = f"""WITH {VECTOR_SQL}, n AS (SELECT label, count(*) AS n FROM v GROUP BY label), t AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.e, b.e)) AS t FROM v a, v b GROUP BY ALL),
+m AS (SELECT vec_id, t.label, other, n, CASE WHEN t.label = other THEN CASE WHEN n > 1 THEN t / (n - 1) ELSE 0 END ELSE t / n END AS m FROM t JOIN n ON n.label = t.other),
+s AS (SELECT vec_id, max(CASE WHEN label = other THEN m END) AS a, min(CASE WHEN label <> other THEN m END) AS b, max(CASE WHEN label = other THEN n END) AS n FROM m GROUP BY vec_id)
+SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, (SELECT min(n) FROM n) AS minimum_cluster_size, (SELECT max(n) FROM n) AS maximum_cluster_size FROM s"""
+
+
+@query(SILHOUETTE_SQL)
+def cluster_metrics(spark, sf_dir):
+    return clusters.metrics(vectors(spark, sf_dir), "label", "vec_id")
+
+
+@query()
+def kmeans_assignments(spark, sf_dir):
+    return clusters.assignments(clusters.kmeans(clusters.normalised(vectors(spark, sf_dir)), seeds=3), (3, 4, 5))
+
+
+@query()
+def pca_projection(spark, sf_dir):
+    return clusters.projection(vectors(spark, sf_dir), "vec_id")
+
+
+# Pages and streams
+
+
+@query()
+def page_blocks(spark, sf_dir):
+    return html.page_blocks(read(spark, sf_dir, "pages"))
+
+
+@query()
+def page_block_stats(spark, sf_dir):
+    return html.block_stats(html.page_blocks(read(spark, sf_dir, "pages")))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def windowed_event_counts(spark, sf_dir):
+    """The stream of the events table, run to its end."""
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    name = f"events_{uuid.uuid4().hex}"
+    run = stateless.windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
