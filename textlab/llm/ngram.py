@@ -7,9 +7,10 @@ are then probed by binary search for all elements and kept if they reach the ove
 counts over the whole corpus, in a sketch of fixed size; any order gives the same result, a rough
 one only more candidates.
 
-Equal sets are one class, which takes part once. In the first rounds each class is tried
-against the lowest members of its lists in several orders, which joins large groups of near copies without
-forming their pairs; in the last all pairs of a list that are still in different components.
+Equal sets are one class, which takes part once. First each class is tried
+against two hubs of each of its lists: the member that shares most elements, so the middle of a
+group of near copies, and the lowest in a random order. This joins large groups without forming
+their pairs. Then all pairs of a list are tried that are still in different components.
 Candidates are sifted by size, place in the list and parity: sets whose bucket parities (two
 buckets for each element at least) differ in more places than the sets may differ in elements
 cannot link.
@@ -38,11 +39,8 @@ from .rolling import mixed
 
 #: Counters of the corpus sketch, and how many a row of it holds.
 SKETCH, BLOCK = 1 << 20, 1 << 12
-#: Orders, each of which gives a list its lowest member, and those that a class is tried against in one of the first rounds. The last order is
-#: random; the others put those first that share most elements, which are the middle of a group of near copies, in finer or rougher grades.
-ORDERS, PARTNERS = 4, 8
-#: Rounds of that kind.
-TURNS = 1
+#: Hubs that a class is tried against before all pairs that are left.
+PARTNERS = 8
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -135,7 +133,7 @@ def short_lists(s: np.ndarray, sketch: np.ndarray, least: Threshold) -> np.ndarr
 
 
 def candidates(docs: DataFrame, sketch: np.ndarray, width: int, least: Threshold) -> DataFrame:
-    """Classes that share a short list with another: class, n, parities, elements and their places, set. Copies can come more than once."""
+    """Classes that share a short list with another: class, n, parities, elements and their places. Copies can come more than once."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def lists(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,11 +159,11 @@ def candidates(docs: DataFrame, sketch: np.ndarray, width: int, least: Threshold
                 short = short_lists(s, sent.value, least)
                 at = np.flatnonzero(bits.has(short))
                 if len(at):
-                    rows.append((c, len(s), parities(s), short[at].astype(np.int64), at.astype(np.int32), s.tobytes()))
+                    rows.append((c, len(s), parities(s), short[at].astype(np.int64), at.astype(np.int32)))
             if rows:
-                yield pd.DataFrame(rows, columns=["class", "n", "odd", "elements", "places", "set"])
+                yield pd.DataFrame(rows, columns=["class", "n", "odd", "elements", "places"])
 
-    return common.stored(docs.mapInPandas(run, "class long, n long, odd array<long>, elements array<long>, places array<int>, set binary"))
+    return docs.mapInPandas(run, "class long, n long, odd array<long>, elements array<long>, places array<int>")
 
 
 def possible(pairs: DataFrame, light: DataFrame, least: Threshold) -> DataFrame:
@@ -177,18 +175,26 @@ def possible(pairs: DataFrame, light: DataFrame, least: Threshold) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(parity).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: Threshold) -> DataFrame:
-    """Of the pairs (a, b) those that link; b's set goes to a's, which probes it by binary search."""
-    pairs = common.stored(pairs)
-    ids = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
-    bits = Bits(ids, "class", 24)
+def sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(class, set) of all classes in the pairs, from one document of each; only these are shingled again."""
+    ids = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    one = common.stored(ids.join(classes, "class").select("class", F.xxhash64("least").alias("key")))
+    keys, names = Bits(one, "key"), Bits(one, "class")
 
-    def wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if (own := bits.has(f["class"].to_numpy())).any():
-                yield f[own]
+            sets = {class_id(s): s for t in f["text"][keys.has(f["key"].to_numpy())] if len(s := shingles(t, width))}
+            if sets and (own := names.has(np.array(list(sets)))).any():
+                yield pd.DataFrame([(c, s.tobytes()) for (c, s), x in zip(sets.items(), own, strict=True) if x], columns=["class", "set"])
+
+    keyed = docs.select(F.xxhash64("doc_id").alias("key"), "text")
+    return keyed.mapInPandas(run, "class long, set binary").groupBy("class").agg(F.first("set").alias("set"))
 
-    sets = sets.select("class", "set").mapInPandas(wanted, "class long, set binary").groupBy("class").agg(F.first("set").alias("set"))
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: Threshold) -> DataFrame:
+    """Of the pairs (a, b) those that link; b's set goes to a's, which probes it by binary search."""
+    pairs = common.stored(pairs)
+    sets = common.stored(sets_of(pairs, docs, classes, width))
     own = sets.join(pairs.select(F.col("a").alias("class")).distinct(), "class").select(F.col("class").alias("a"), F.col("class").alias("b"), "set")
     other = pairs.join(sets, pairs["b"] == sets["class"]).select("a", "b", "set")
     lined = own.unionByName(other).repartition(common.partitions(pairs.sparkSession), "a").sortWithinPartitions("a", F.col("a") != F.col("b"), "b")
@@ -211,26 +217,21 @@ def verified(pairs: DataFrame, sets: DataFrame, least: Threshold) -> DataFrame:
     return common.stored(lined.mapInPandas(probe, "a long, b long"))
 
 
-def links(docs: DataFrame, sketch: np.ndarray, width: int, least: Threshold) -> DataFrame:
-    """Edges (a, b) between classes that have the components of all links."""
+def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, width: int, least: Threshold) -> DataFrame:
+    """Edges (a, b) between classes that have the components of all links. classes: class, least doc_id."""
     found = candidates(docs, sketch, width, least)
     light = common.stored(found.select("class", "n", "odd", F.arrays_zip("elements", "places").alias("lists")).dropDuplicates(["class"]))
-    edges = roots = None
-    for turn in range(TURNS):
-        members = light.select("class", F.col("class").alias("root"), "lists")
-        if roots is not None:
-            members = light.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "lists")
-        posted = members.select("class", "root", F.size("lists").alias("shared"), F.explode("lists.elements").alias("element"))
-        grade = [F.shiftleft(F.shiftright(-F.col("shared"), 2 * k), 2 * k) if k < ORDERS - 1 else F.lit(0) for k in range(ORDERS)]
-        lowest = [F.min(F.struct(grade[k].alias("grade"), F.xxhash64("class", F.lit(ORDERS * turn + k)).alias("draw"), F.col("class").alias("hub"), F.col("root").alias("hub_root"))).alias(f"h{k}") for k in range(ORDERS)]
-        hubs = posted.groupBy("element").agg(*lowest, F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        hubs = hubs.select("element", F.array_distinct(F.array(*[F.struct(f"h{k}.hub", f"h{k}.hub_root") for k in range(ORDERS)])).alias("hubs"))
-        stars = posted.join(hubs, "element").select("class", "root", F.explode("hubs").alias("h")).filter("root <> h.hub_root").select(F.col("class").alias("a"), F.col("h.hub").alias("b")).distinct()
-        draw = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
-        tries = possible(stars, light, least).withColumn("k", F.row_number().over(draw)).filter(F.col("k") <= PARTNERS)
-        more = verified(tries.select("a", "b"), found, least)
-        edges = more if edges is None else edges.unionByName(more)
-        roots = common.components(edges)
+    posted = light.select("class", F.size("lists").alias("shared"), F.explode("lists.elements").alias("element"))
+    low = F.shiftrightunsigned(F.xxhash64("class"), 24)  # 40 bits that order at random; the share of elements goes before them
+    orders = [low - F.shiftleft(F.col("shared").cast("long"), 40), low]
+    lowest = [F.min(F.struct(o.alias("draw"), F.col("class").alias("hub"))).alias(f"h{k}") for k, o in enumerate(orders)]
+    hubs = posted.groupBy("element").agg(*lowest, F.count("*").alias("n")).filter("n > 1")
+    hubs = hubs.select("element", F.array_distinct(F.array(*[f"h{k}.hub" for k in range(len(orders))])).alias("hubs"))
+    stars = posted.join(hubs, "element").select(F.col("class").alias("a"), F.explode("hubs").alias("b")).filter("a <> b").distinct()
+    draw = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
+    tries = possible(stars, light, least).withColumn("k", F.row_number().over(draw)).filter(F.col("k") <= PARTNERS)
+    edges = verified(tries.select("a", "b"), docs, classes, width, least)
+    roots = common.components(edges)
     named = light.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "n", F.coalesce("root", "class").alias("root"), F.explode("lists").alias("e"))
     named = named.select("class", "n", "root", F.col("e.elements").alias("element"), F.col("e.places").alias("place"))
     open_lists = named.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("element")
@@ -240,7 +241,7 @@ def links(docs: DataFrame, sketch: np.ndarray, width: int, least: Threshold) ->
     met = (F.col("x.element") == F.col("y.element")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
     pairs = left.alias("x").join(left.alias("y"), met & sized("x.n", "y.n", least) & reach)
     pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    return edges.unionByName(verified(possible(pairs, light, least), found, least))
+    return edges.unionByName(verified(possible(pairs, light, least), docs, classes, width, least))
 
 
 def sized(n: str, m: str, least: Threshold) -> Column:
@@ -252,8 +253,8 @@ def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     common.small_batches(docs.sparkSession)
     docs = common.texts(docs)
     rows, sketch = measured(docs, width)
-    roots = common.components(links(docs, sketch, width, Threshold(num, den)))
-    classes = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    classes = common.stored(rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")))
+    roots = common.components(links(docs, classes, sketch, width, Threshold(num, den)))
     classes = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "root").select("class", "component_id")
