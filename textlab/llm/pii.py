@@ -17,7 +17,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +27,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSED, REMOVED, SUPPORT = 0.8, 0.95, 3
 #: Words on either side that make up a context.
 REACH = 8
-#: Bits of the filter that picks out terms whose documents are counted; a false hit only costs time.
-FILTER_BITS = 1 << 20
-#: Disclosive pairs up to which they are broadcast; more are joined by a shuffle.
+#: Disclosive pairs, or terms to count, up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_PAIRS = 200_000
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -114,23 +111,23 @@ def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUP
     often = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
     pairs = seen.join(often, "entity").select("entity", "n_entity", F.explode("terms").alias("term"))
     pairs = common.stored(pairs.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= support))
-    marks = np.zeros(FILTER_BITS, bool)
-    marks[[r[0] for r in pairs.select(F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)).alias("at")).distinct().collect()]] = True
-    if not marks.any():
-        return pairs.select("entity", "term", F.lit(1.0).alias("share"))
     total = docs.count()
-    sent = spark.sparkContext.broadcast(np.packbits(marks))
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w{3,})"), F.lit(1)))).alias("term"))
-    hashed = terms.select("term", F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)).cast("int").alias("at"))
+    names = pairs.select("term").distinct()
+    if names.count() <= BROADCAST_PAIRS:
+        sent = spark.sparkContext.broadcast(frozenset(r["term"] for r in names.collect()))
 
-    def wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.unpackbits(sent.value).astype(bool)
-        for f in frames:
-            counts = Counter(f["term"][bits[f["at"].to_numpy()]])
+        def wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts: Counter = Counter()
+            for f in frames:
+                for t in f["text"]:
+                    counts.update(sent.value.intersection(TERM.findall(t.lower())))
             if counts:
                 yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
 
-    spread = hashed.mapInPandas(wanted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+        spread = docs.mapInPandas(wanted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    else:
+        terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w{3,})"), F.lit(1)))).alias("term"))
+        spread = terms.join(names, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     info = F.log2(F.lit(total) / F.col("n_entity"))
     known = F.log2(F.least(F.lit(1.0), F.col("together") / F.col("n_term")))  # log2 p(e | t)
     share = F.when(info > 0, (info + known) / info).otherwise(0.0)
