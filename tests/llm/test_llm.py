@@ -151,6 +151,21 @@ def test_pii(spark, docs, empty):
     out = pii.sanitised(df).filter("doc_id = 0").first()["text"]
     assert "Zorblatt" not in out and "[EMAIL]" in out
     assert pii.sanitised(df).filter("doc_id = 200").first()["text"] == rows[200][1]
+    by_join = pii.disclosive(df, broadcast_terms=0)
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, by_join.collect()))
+    spans = lambda **how: sorted((r["doc_id"], r["base"], r["terms"]) for r in pii.found(df, pairs, **how).collect())
+    assert spans() == spans(broadcast_pairs=0)
+
+
+def test_pii_long_texts():
+    text = " ".join(f"user{k} u{k}@mail.org" for k in range(20_000))
+    spans = pii.base_spans(text)
+    got = pii.near(text, spans)
+    assert len(spans) == len(got) == 20_000
+    for k in (0, 9, 19_999):
+        assert [w for w, _, _ in got[k][2]] == [f"user{i}" for i in range(20_000) if any(a == text.index(f"user{i} ") for _, a, _ in got[k][2])]
+    zeros = "0" * 6000
+    assert [(a, k, b) for a, k, b in pii.base_spans(f"{zeros}1.2.3.4 300.1.1.1")] == [(0, 1, 6007)]
 
 
 def test_quality(spark, docs, empty):

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -61,7 +62,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), in order."""
     out = [(a, 0, b) for a, b in emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -79,12 +80,16 @@ def near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, l
     if not spans:
         return []
     out = []
-    taken = [(a, b) for a, _, b in spans]
+    taken = common.merged([(a, b) for a, _, b in spans])
+    firsts = [a for a, _ in taken]
     for a, kind, b in spans:
-        line = text.rfind("\n", 0, a) + 1, (len(text) if (e := text.find("\n", b)) < 0 else e)
+        low, high = max(0, a - 40 * REACH), min(len(text), b + 40 * REACH)
+        low = low if (e := text.rfind("\n", low, a)) < 0 else e + 1
+        high = high if (e := text.find("\n", b, high)) < 0 else e
         words = []
-        for m in [*list(TERM.finditer(text, max(line[0], a - 40 * REACH), a))[-REACH:], *list(TERM.finditer(text, b, min(line[1], b + 40 * REACH)))[:REACH]]:
-            if not any(x < m.end() and m.start() < y for x, y in taken):
+        for m in [*list(TERM.finditer(text, low, a))[-REACH:], *list(TERM.finditer(text, b, high))[:REACH]]:
+            k = bisect_left(firsts, m.end())  # only the last span that starts before the word's end can reach it
+            if not k or taken[k - 1][1] <= m.start():
                 words.append((m[0].lower(), m.start(), m.end()))
         value = text[a:b].lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", text[a:b])
         out.append((number(f"{kind}:{value}"), number(" ".join(w for w, _, _ in words)), words))
@@ -95,7 +100,7 @@ def number(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
+def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT, broadcast_terms: int = BROADCAST_PAIRS) -> DataFrame:
     """(entity, term, share): pairs whose PMI is share of the entity's information, disclosed at least."""
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -113,7 +118,7 @@ def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUP
     pairs = common.stored(pairs.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= support))
     total = docs.count()
     names = pairs.select("term").distinct()
-    if names.count() <= BROADCAST_PAIRS:
+    if names.count() <= broadcast_terms:
         sent = spark.sparkContext.broadcast(frozenset(r["term"] for r in names.collect()))
 
         def wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,8 +131,13 @@ def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUP
 
         spread = docs.mapInPandas(wanted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     else:
-        terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w{3,})"), F.lit(1)))).alias("term"))
-        spread = terms.join(names, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+
+        def every(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                counts = Counter(w for t in f["text"] for w in set(TERM.findall(t.lower())))
+                yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}).astype({"term": str, "n": "int64"})
+
+        spread = docs.mapInPandas(every, "term string, n long").join(names, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
     info = F.log2(F.lit(total) / F.col("n_entity"))
     known = F.log2(F.least(F.lit(1.0), F.col("together") / F.col("n_term")))  # log2 p(e | t)
     share = F.when(info > 0, (info + known) / info).otherwise(0.0)
@@ -153,13 +163,13 @@ def masked(text: str, spans: list[tuple[int, int, int, float]], removed: float =
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
 
 
-def found(docs: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = (), sanitise: bool = False) -> DataFrame:
+def found(docs: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = (), sanitise: bool = False, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """Rows of docs: doc_id, base and terms (arrays of spans), kept columns, and with sanitise the text as masked()."""
     spark = docs.sparkSession
     keep = tuple(c for c in keep if c not in ("doc_id", "text"))
     docs = common.texts(docs, *keep)
     shares = None
-    if pairs.count() <= BROADCAST_PAIRS:
+    if pairs.count() <= broadcast_pairs:
         shares = spark.sparkContext.broadcast({(r["entity"], r["term"]): r["share"] for r in pairs.collect()})
     else:  # the pairs of each text come to it by its place in the input and its hash
         docs = docs.withColumn("row", F.monotonically_increasing_id())

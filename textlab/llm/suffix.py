@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Bits
+from .common import Bits, merged
 from .rolling import between, mixed, prefix
 
 LENGTH, GRAM = 400, 64
@@ -69,16 +69,6 @@ def segments(place: np.ndarray, first: np.ndarray, last: np.ndarray, sums: np.nd
     return mixed(between(sums, first, last + length) ^ mixed(shape)).astype(np.int64)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Spans covered by strings that start at the rising places."""
     if not len(starts):
