@@ -8,6 +8,7 @@ from textlab.operators import batches, chunking, cleaning, html, labels, tfidf,
 from textlab.plans import catalog
 from textlab.plans.config import ChunkSpec, CleaningRules, Taxonomy, TfidfSpec, TokenSpec
 from textlab.sources import readers
+from textlab.streaming import stateless
 
 SF = "/root/testdata/sf0.001"
 
@@ -123,3 +124,25 @@ def test_oracles(spark, name):
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), c.execute(catalog.ORACLES[name]).df()
     rows = lambda d: sorted((tuple(None if x != x else x for x in r) for r in d[sorted(d.columns)].itertuples(index=False)), key=repr)
     assert rows(got) == rows(want)
+
+
+def test_rare_combinations_with_nulls(spark):
+    rows = [(1, "a", None, "t", "long evidence"), (2, "a", "x", "t", "long evidence"), (3, "a", "x", "t", "long evidence"), (None, "b", "x", "t", "long evidence")]
+    df = spark.createDataFrame(rows, "chunk_id long, one string, two string, text string, evidence string")
+    out = labels.review_candidates(df, ["one", "two"], [], [])
+    got = {r["chunk_id"] for r in out.collect() if "rare combination" in r["review_reason"]}
+    assert got == {1, None} and out.columns == [*df.columns, "review_reason"]
+
+
+def test_observed_labels(spark):
+    df = spark.createDataFrame([("a",), (None,), ("b",), ("a",)], "x string")
+    assert labels.observed(df, ["x"]).fields == {"x": ("a", "b")}
+    with pytest.raises(ValueError):
+        labels.observed(df, ["x"], most=1)
+
+
+def test_drained_stream_without_rows(spark, tmp_path):
+    schema = "ts timestamp, event_type string, value double"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    assert stateless.drained(stateless.windowed_counts(stream)).count() == 0

@@ -24,6 +24,14 @@ def with_phase(df: DataFrame, phases: dict[str, str], period: str = "period") ->
     return df.withColumn("phase", F.coalesce(phase, F.raise_error(F.concat(F.lit("no phase for "), F.coalesce(period, F.lit("null")))).cast("string")))
 
 
+def observed(df: DataFrame, fields: list[str], most: int = 1000) -> Taxonomy:
+    """The labels that occur; more than most of a field raise an error, as a taxonomy is a short list."""
+    found = {f: sorted(r[0] for r in df.select(f).filter(F.col(f).isNotNull()).distinct().take(most + 1)) for f in fields}
+    if wide := [f for f, x in found.items() if len(x) > most]:
+        raise ValueError(f"more than {most} labels: {', '.join(wide)}")
+    return Taxonomy({f: tuple(x) for f, x in found.items()})
+
+
 def _counts(taxonomy: Taxonomy) -> Column:
     """All labels of the taxonomy with their counts, none left out."""
     return F.array(*[F.struct(F.lit(f).alias("label_field"), F.lit(x).alias("label"), F.count_if(F.col(f) == x).alias("count")) for f, x in taxonomy.pairs()])
@@ -97,12 +105,17 @@ def ordered_groups(groups: DataFrame, known: list[str]) -> DataFrame:
 def review_candidates(merged: DataFrame, fields: list[str], rules: list[tuple[str, str]], patterns: list[str]) -> DataFrame:
     """Rows with a reason to look again. rules: (reason, SQL condition) on the fields; more reasons, in order: short evidence,
     evidence not in the text, a combination of labels that occurs once, a pattern in the text."""
-    rare = F.count("*").over(Window.partitionBy(*fields)) < 2
+    # A combination that occurs once is found by its row's id, so no task gets all rows of a frequent one.
+    once = merged.groupBy(*fields).agg(F.count("*").alias("_n"), F.min("chunk_id").alias("chunk_id")).filter("_n = 1")
+    once = once.select(*[F.col(c).alias(f"_one_{c}") for c in ("chunk_id", *fields)], F.lit(True).alias("_rare"))
+    same = F.lit(True)
+    for c in ("chunk_id", *fields):
+        same = same & F.col(c).eqNullSafe(F.col(f"_one_{c}"))
     ceremonial = F.exists(F.array(*map(F.lit, patterns)).cast("array<string>"), lambda p: F.contains(F.col("text"), p))
-    df = merged.withColumn("_rare", rare)
+    df = merged.join(once, same, "left").withColumn("_rare", F.coalesce("_rare", F.lit(False)))
     checks = [(F.expr(c), r) for r, c in rules]
     checks += [(F.coalesce(visible_length(F.col("evidence")), F.lit(0)) < 5, "short evidence"), (~F.coalesce(evidence_found(F.col("evidence"), F.col("text")), F.lit(False)), "evidence not found"), (F.col("_rare"), "rare combination"), (ceremonial, "ceremonial or regional")]
-    return df.withColumn("review_reason", F.concat_ws(" | ", *[F.when(c, F.lit(r)) for c, r in checks])).filter("review_reason <> ''").drop("_rare")
+    return df.withColumn("review_reason", F.concat_ws(" | ", *[F.when(c, F.lit(r)) for c, r in checks])).filter("review_reason <> ''").drop(*once.columns)
 
 
 def representative_examples(merged: DataFrame, criteria: dict[str, str], patterns: list[str], limit: int = 3, length: int = 250) -> DataFrame:

@@ -48,15 +48,13 @@ def outside_range(df: DataFrame, key: str, column: str, low: float = 0.0, high:
 
 
 def chunk_errors(chunks: DataFrame, documents: DataFrame, document: str, required: list[str], banned: list[str]) -> DataFrame:
-    """All checks of a chunk table at once."""
-    checks = [duplicates(chunks, "chunk_id"), empty_text(chunks, "chunk_id"), failing(chunks, "chunk_id", F.length("text") != F.col("char_count"), "wrong char_count")]
-    checks += [failing(chunks, "chunk_id", blank(F.col(c).cast("string")), f"missing {c}") for c in required]
-    checks += [failing(chunks, "chunk_id", F.contains(F.col("text"), F.lit(b)), f"boilerplate: {b}") for b in banned]
-    checks.append(missing_keys(documents, chunks, document, "document without chunks"))
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+    """All checks of a chunk table at once; those of single rows share one scan."""
+    checks = [(blank(F.col("text")), "empty text"), (F.length("text") != F.col("char_count"), "wrong char_count")]
+    checks += [(blank(F.col(c).cast("string")), f"missing {c}") for c in required]
+    checks += [(F.contains(F.col("text"), F.lit(b)), f"boilerplate: {b}") for b in banned]
+    found = F.array_compact(F.array(*[F.when(c, F.lit(e)) for c, e in checks]))
+    rows = chunks.select(F.explode(found).alias("error"), F.col("chunk_id").cast("string").alias("key"))
+    return rows.unionByName(duplicates(chunks, "chunk_id")).unionByName(missing_keys(documents, chunks, document, "document without chunks"))
 
 
 def raise_errors(errors: DataFrame, most: int = 20) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -225,15 +224,15 @@ def chunk_validation_errors(spark, sf_dir):
     return validate.chunk_errors(rows, rows.select("doc").distinct(), "doc", ["type", "period"], ["license"])
 
 
-@query("""WITH d AS (SELECT 'D' || doc_id AS doc_id, 'doc_' || doc_id || '.txt' AS name, lang AS type, '' AS speaker FROM documents),
-m AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'd' || doc_id ELSE '' END AS doc_id, 'path/DOC_' || doc_id || '.txt' AS local_path, source AS speaker, CASE WHEN doc_id % 2 = 0 THEN 'talk' ELSE ' ' END AS type FROM documents WHERE doc_id < 300 AND doc_id % 5 <> 0)
-SELECT d.doc_id, d.name, coalesce(nullif(trim(m.type), ''), d.type) AS type, coalesce(nullif(trim(m.speaker), ''), d.speaker) AS speaker
-FROM d LEFT JOIN m ON upper(m.local_path) = 'PATH/' || upper(d.name)""")
+@query("""WITH d AS (SELECT 'D' || doc_id AS doc_id, 'doc_' || source || '.txt' AS name, lang AS type, '' AS speaker FROM documents),
+m AS (SELECT 'd' || min(doc_id) AS doc_id, CASE WHEN source LIKE '%1' THEN '' ELSE 'path/DOC_' || source || '.txt' END AS local_path, source AS speaker, CASE WHEN source LIKE '%2' THEN ' ' ELSE 'talk' END AS type FROM documents GROUP BY source)
+SELECT d.doc_id, d.name, coalesce(nullif(trim(coalesce(a.type, b.type)), ''), d.type) AS type, coalesce(nullif(trim(coalesce(a.speaker, b.speaker)), ''), d.speaker) AS speaker
+FROM d LEFT JOIN m a ON upper(a.doc_id) = d.doc_id LEFT JOIN m b ON upper(b.local_path) = 'PATH/' || upper(d.name)""")
 def metadata_lookup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    rows = docs.select(F.concat(F.lit("D"), "doc_id").alias("doc_id"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("name"), F.col("lang").alias("type"), F.lit("").alias("speaker"))
-    known = docs.filter("doc_id < 300 AND doc_id % 5 <> 0")
-    meta = known.select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("d"), "doc_id")).otherwise("").alias("doc_id"), F.concat(F.lit("path/DOC_"), "doc_id", F.lit(".txt")).alias("local_path"), F.col("source").alias("speaker"), F.when(F.col("doc_id") % 2 == 0, "talk").otherwise(" ").alias("type"))
+    rows = docs.select(F.concat(F.lit("D"), "doc_id").alias("doc_id"), F.concat(F.lit("doc_"), "source", F.lit(".txt")).alias("name"), F.col("lang").alias("type"), F.lit("").alias("speaker"))
+    known = docs.groupBy("source").agg(F.min("doc_id").alias("first"))
+    meta = known.select(F.concat(F.lit("d"), "first").alias("doc_id"), F.when(F.col("source").endswith("1"), "").otherwise(F.concat(F.lit("path/DOC_"), "source", F.lit(".txt"))).alias("local_path"), F.col("source").alias("speaker"), F.when(F.col("source").endswith("2"), " ").otherwise("talk").alias("type"))
     return chunking.with_metadata(rows, meta, ["type", "speaker"], ["local_path"])
 
 
@@ -483,7 +482,7 @@ SELECT 'part' AS dimension, part AS "group", 'label' AS label_field, CAST(l.labe
 FROM doc CROSS JOIN labels_ l LEFT JOIN k ON k.doc = doc.doc AND k.label = l.label GROUP BY part, l.label""")
 def cluster_balanced_distribution(spark, sf_dir):
     df = vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), "part", (F.col("vec_id") % 20).alias("doc"), F.col("label").cast("string").alias("label"))
-    found = Taxonomy({"label": tuple(r[0] for r in df.select("label").distinct().orderBy("label").limit(1000).collect())})
+    found = labels.observed(df, ["label"])
     return labels.document_balanced(labels.document_level(df, found, "doc", ["part"]), "doc", "part")
 
 
@@ -526,7 +525,4 @@ def windowed_event_counts(spark, sf_dir):
     """The stream of the events table, run to its end."""
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    name = f"events_{uuid.uuid4().hex}"
-    run = stateless.windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return stateless.drained(stateless.windowed_counts(stream))

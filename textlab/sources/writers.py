@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """A new name in the folder of spark.checkpoint.dir; where it is unset (tests), of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="textlab-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/textlab-{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame, path: str, *partition_by: str) -> None:
