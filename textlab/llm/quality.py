@@ -99,11 +99,11 @@ def cutoffs(shares: DataFrame, labels: DataFrame, rules: dict[str, tuple[float,
     held = shares.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
     tests = [(rule, c) for rule, grid in rules.items() for c in grid]
     counted = held.groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(F.col(rule) > c).alias(f"t{i}") for i, (rule, c) in enumerate(tests)])
-    strata = counted.select(F.count("*").alias("strata"))
-    each = counted.crossJoin(F.broadcast(strata))  # one row
-    passed = lambda i: binomial_cdf(F.col(f"t{i}"), F.col("n"), max_risk / len(rules)) <= F.lit(delta) / (F.col("strata") * len(tests))
+    counted = common.stored(counted)
+    share = delta / (max(1, counted.count()) * len(tests))
+    passed = lambda i: binomial_cdf(F.col(f"t{i}"), F.col("n"), max_risk / len(rules)) <= share
     best = lambda rule: F.least(F.lit(None).cast("double"), F.lit(None).cast("double"), *[F.when(passed(i), F.lit(c)) for i, (r, c) in enumerate(tests) if r == rule])
-    return each.select("lang", *[best(rule).alias(f"max_{rule}") for rule in rules])
+    return counted.select("lang", *[best(rule).alias(f"max_{rule}") for rule in rules])
 
 
 def filtered(docs: DataFrame, labels: DataFrame, rules: dict[str, tuple[float, ...]] = RULES, max_risk: float = MAX_RISK, delta: float = DELTA) -> DataFrame:
