@@ -9,7 +9,7 @@ from .lm import op10_pseudo_likelihood
 from .ngram import op2_ngram_join
 from .packing import op1_packing
 from .pii import op4_pii
-from .quality import op5_quality_rules
+from .quality import OP5_SQL, op5_quality_rules
 from .suffix import op8_suffix_dedup
 from .toxicity import op9_toxicity
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
-ORACLES: dict[str, str] = {"op7_preference_format": OP7_SQL}
+ORACLES: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op7_preference_format": OP7_SQL}

@@ -123,3 +123,39 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Query: counts and verdicts of all documents."""
     out = filtered(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    tests = ", ".join(f"('{rule}', {c})" for rule, grid in RULES.items() for c in grid)
+    p = MAX_RISK / len(RULES)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+split AS (SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+words AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM split),
+sized AS (SELECT r, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars FROM words GROUP BY r),
+windows AS (SELECT r, i, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c, lead(w, 3) OVER o AS d, lead(w, 4) OVER o AS e FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+counted AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c, d, e) AS n FROM windows WHERE e IS NOT NULL),
+again AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM counted, range({WINDOW}) t(k) WHERE n > 1 GROUP BY r),
+lines AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (
+  SELECT r, doc_id, lang, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM d LEFT JOIN sized USING (r) LEFT JOIN again USING (r) LEFT JOIN lines USING (r)),
+s AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_share, coalesce(word_chars / nullif(n_words, 0), 0) AS word_length,
+    coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share FROM m),
+measures AS (UNPIVOT (SELECT r, lang, {", ".join(RULES)} FROM s) ON {", ".join(RULES)} INTO NAME rule VALUE x),
+held AS (SELECT r, lang FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+tests(rule, c) AS (VALUES {tests}),
+seen AS (
+  SELECT h.lang, t.rule, t.c, count(*) AS n, count(*) FILTER (x > c) AS k
+  FROM held h JOIN measures USING (r) JOIN tests t USING (rule) GROUP BY ALL),
+risks AS (
+  SELECT lang, rule, c, list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) AS risk FROM seen WHERE k < n * {p}),
+limits AS (SELECT lang, rule, min(c) AS c FROM risks WHERE risk <= {DELTA} / ((SELECT count(DISTINCT lang) FROM held) * {sum(map(len, RULES.values()))}) GROUP BY ALL),
+over AS (SELECT DISTINCT r FROM measures JOIN limits USING (lang, rule) WHERE x > c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM over) AS kept FROM s
+"""
+
+
+OP5_SQL = _sql()
