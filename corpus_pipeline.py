@@ -33,16 +33,19 @@ def _stage(f: Callable) -> Callable:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under the threshold; labels with remainder 1 are held out."""
     labels = common.table(spark, sf_dir, "labels").filter(common.crc32_mod("doc_id", 3) != 1)
-    scored = toxicity.scored(docs, toxicity.fit(docs, labels), *[c for c in docs.columns if c != "doc_id"])
-    return scored.filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    names = common.veiled(docs)
+    plain = docs.select("doc_id", "text", *[common.quoted(c).alias(x) for c, x in names.items()])
+    scored = toxicity.scored(plain, toxicity.fit(docs, labels), "text", *names.values()).filter(F.col("score") < toxicity.THRESHOLD)
+    return scored.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 the document with the smallest id."""
     kept = ngram.components(docs, 5, 80, 100).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    hashed = docs.withColumn("text_hash_", F.xxhash64("text"))
-    return hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text_hash_"]).select(*docs.columns)
+    mark = max(docs.columns, key=len) + "_hash"  # longer than any name of docs
+    hashed = docs.withColumn(mark, F.xxhash64("text"))
+    return hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns)
 
 
 @_stage

@@ -7,8 +7,8 @@ therefore a true one, and the text can be cut there. Between such cuts lie the p
 encoded independently. Where an overlap holds no shared boundary (a pre-token longer than the
 overlap), the rest of the text stays one piece. Decoding concatenates the bytes of the ids.
 
-Null text counts as empty; an empty text has no ids. Rows are treated one by one, so repeated
-doc_ids of short texts each give a row; of long texts the doc_id must be unique.
+Null text counts as empty; an empty text has no ids. Every row gives a row, also where doc_ids or
+whole rows repeat or ids are null: pieces find together by id and text, and copies are counted.
 """
 
 from __future__ import annotations
@@ -84,12 +84,15 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
 
 
 def pieces(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, piece, text) of the texts in docs: chunks are pre-tokenised in parallel, then stitched."""
+    """(doc_id, key, copies, piece, text) of the texts in docs: chunks are pre-tokenised in parallel, then stitched.
+
+    Texts of one doc_id are told apart by key, a hash; rows that are equal are stitched once and counted.
+    """
     n = F.length("text")
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - overlap) / chunk).cast("int") - 1)))
-    chunks = docs.select("doc_id", "text", n.alias("n"), at.alias("k"))
+    chunks = docs.select("doc_id", F.xxhash64("text").alias("key"), "text", n.alias("n"), at.alias("k"))
     last = F.col("k") == F.greatest(F.lit(0), F.ceil((F.col("n") - overlap) / chunk).cast("int") - 1)
-    chunks = chunks.select("doc_id", "k", last.alias("last"), F.substring("text", F.col("k") * chunk + 1, F.when(last, F.col("n")).otherwise(chunk + overlap)).alias("text"))
+    chunks = chunks.select("doc_id", "key", "k", last.alias("last"), F.substring("text", F.col("k") * chunk + 1, F.when(last, F.col("n")).otherwise(chunk + overlap)).alias("text"))
     chunks = chunks.repartition(common.partitions(docs.sparkSession), "doc_id", "k")
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,12 +101,13 @@ def pieces(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataF
             yield f.assign(marks=ends)
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("k")
+        copies = int((f["k"] == 0).sum())
+        f = f.sort_values("k").drop_duplicates("k")
         out = stitch(list(f["text"]), chunk, [list(x) for x in f["marks"]])
-        return pd.DataFrame({"doc_id": f["doc_id"].iloc[0], "piece": range(len(out)), "text": out})
+        return pd.DataFrame({"doc_id": f["doc_id"].iloc[0], "key": f["key"].iloc[0], "copies": copies, "piece": range(len(out)), "text": out})
 
-    marked = chunks.mapInPandas(mark, "doc_id long, k int, last boolean, text string, marks array<int>")
-    return marked.groupBy("doc_id").applyInPandas(join, "doc_id long, piece int, text string")
+    marked = chunks.mapInPandas(mark, "doc_id long, key long, k int, last boolean, text string, marks array<int>")
+    return marked.groupBy("doc_id", "key").applyInPandas(join, "doc_id long, key long, copies int, piece int, text string")
 
 
 def encode(docs: DataFrame, path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -128,15 +132,15 @@ def _encoded(docs: DataFrame, path: str, chunk: int, overlap: int, schema: str,
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoding(path)
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "piece": f["piece"], "ids": [np.array(own.encode_ordinary(t), "<u4").tobytes() for t in f["text"]]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "key": f["key"], "copies": f["copies"], "piece": f["piece"], "ids": [np.array(own.encode_ordinary(t), "<u4").tobytes() for t in f["text"]]})
 
     def concat(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("piece")
-        return _frame([result(f["doc_id"].iloc[0], np.frombuffer(b"".join(f["ids"]), "<u4"))], schema)
+        return _frame([result(f["doc_id"].iloc[0], np.frombuffer(b"".join(f["ids"]), "<u4"))] * int(f["copies"].iloc[0]), schema)
 
     long = pieces(docs.filter(F.length("text") > chunk + overlap), chunk, overlap)
-    long = long.repartition(common.partitions(docs.sparkSession), "doc_id", "piece").mapInPandas(part, "doc_id long, piece int, ids binary")
-    return docs.filter(F.length("text") <= chunk + overlap).mapInPandas(whole, schema).unionByName(long.groupBy("doc_id").applyInPandas(concat, schema))
+    long = long.repartition(common.partitions(docs.sparkSession), "doc_id", "piece").mapInPandas(part, "doc_id long, key long, copies int, piece int, ids binary")
+    return common.own_ids(docs.filter(F.length("text") <= chunk + overlap).mapInPandas(whole, schema).unionByName(long.groupBy("doc_id", "key").applyInPandas(concat, schema)))
 
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
@@ -147,7 +151,8 @@ def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "data": [own.decode_bytes([int(i) for i in ids]) for ids in f["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(back, "doc_id long, data binary")
+    ids = encoded.select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias("doc_id"), "ids")
+    return common.own_ids(ids.mapInPandas(back, "doc_id long, data binary"))
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -19,9 +19,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (null: empty), with further columns by name."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
+#: Stands for a null doc_id inside the operators: pandas would turn the long ids of a batch with a null into doubles.
+NO_ID = -(1 << 63)
+
+
+def texts(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """doc_id (null: NO_ID) and text (null: empty), with further columns."""
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
+
+
+def own_ids(df: DataFrame) -> DataFrame:
+    """The ids of texts() as they were."""
+    return df.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
+def veiled(docs: DataFrame) -> dict[str, str]:
+    """Names for all columns but doc_id and text that clash with none of an operator's."""
+    return {c: f"kept_{k}_" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+
+
+def quoted(c: str) -> Column:
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def unveiled(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, from those of df; n_chars follows the text."""
+    names = veiled(docs)
+    out = {c: F.col(names.get(c, c)) for c in docs.columns}
+    if "n_chars" in out:
+        out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return df.select(*[x.alias(c) for c, x in out.items()])
 
 
 def small_batches(spark: SparkSession) -> None:

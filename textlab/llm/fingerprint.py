@@ -7,7 +7,7 @@ filter: shared bits, less those that chance gives, over the most that could be s
 
 A fingerprint depends on the text and the corpus table only, so equal texts have equal ones. Null
 counts as empty; an empty text has no filter, is like another empty one (1) and unlike all others
-(0). Texts shorter than a window are one feature. Rows with equal doc_id are ordered by text; a
+(0). Texts shorter than a window are one feature. Null ids come last; rows with equal doc_id are ordered by text; a
 table of one row has itself as the next document; an empty table gives no rows.
 """
 
@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "fingerprint": [written(fingerprint(t, bits)) for t in f["text"]]})
 
-    return common.texts(docs).mapInPandas(run, "doc_id long, fingerprint string")
+    return common.own_ids(common.texts(docs).mapInPandas(run, "doc_id long, fingerprint string"))
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
         for f in frames:
             yield pd.DataFrame([row(d, t, fingerprint(t, bits), n, fingerprint(n, bits)) for d, t, n in zip(f["doc_id"], f["text"], f["following"], strict=True)], columns=NAMES)
 
-    return out.filter("what = 'row'").select(*NAMES).unionByName(ends.select("doc_id", "text", "following").mapInPandas(match, RESULT))
+    return common.own_ids(out.filter("what = 'row'").select(*NAMES).unionByName(ends.select("doc_id", "text", "following").mapInPandas(match, RESULT)))
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ Elements are 64-bit hashes, and so are classes: among c classes chance merges tw
 c * c / 2 ** 65.
 
 Null text, and text without words, has no shingle and links with nothing. Repeated rows (of the
-same doc_id too) are copies. An empty table gives no rows.
+same doc_id too) are copies. Null ids name no component but their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def measured(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros(SKETCH, np.int64)
     for r in rows.filter("block >= 0").groupBy("block").applyInPandas(add, "block int, counts binary").collect():
         sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
-    return rows.filter("block < 0").select("doc_id", "n", "class"), sketch
+    return common.own_ids(rows.filter("block < 0")).select("doc_id", "n", "class"), sketch
 
 
 def counter(s: np.ndarray) -> np.ndarray:
@@ -178,7 +178,7 @@ def possible(pairs: DataFrame, light: DataFrame, least: Threshold) -> DataFrame:
 def sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(class, set) of all classes in the pairs, from one document of each; only these are shingled again."""
     ids = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    one = common.stored(ids.join(classes, "class").select("class", F.xxhash64("least").alias("key")))
+    one = common.stored(ids.join(classes, "class").select("class", F.xxhash64(F.coalesce("least", F.lit(common.NO_ID))).alias("key")))
     keys, names = Bits(one, "key"), Bits(one, "class")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

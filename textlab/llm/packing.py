@@ -51,7 +51,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def tokenised(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """PIECE rows of every document; null text counts as empty and has the end id only."""
+    """PIECE rows of every document, null ids as common.NO_ID; null text counts as empty and has the end id only."""
     common.small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,8 +226,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_moves: int = MAX_MOVES
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, max_moves: int = MAX_MOVES) -> DataFrame:
-    """Tokenises and packs documents; see tokenised() and pack(). An empty table gives no rows."""
-    return pack(common.stored(tokenised(docs, capacity)), capacity, max_moves)
+    """Tokenises and packs documents; see tokenised() and pack(). Repeated rows and null ids are packed as well; an empty table gives no rows."""
+    return common.own_ids(pack(common.stored(tokenised(docs, capacity)), capacity, max_moves))
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

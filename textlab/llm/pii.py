@@ -202,15 +202,14 @@ def found(docs: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = (), sanitis
             yield pd.DataFrame({"doc_id": f["doc_id"], "base": base, "terms": terms, "text": text} | {c: f[c] for c in keep})
 
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInPandas(run, f"doc_id long, base {SPANS}, terms {SPANS}, text string{more}")
+    return common.own_ids(docs.mapInPandas(run, f"doc_id long, base {SPANS}, terms {SPANS}, text string{more}"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with masked texts; n_chars follows them where there is such a column."""
-    out = found(docs, disclosive(docs), tuple(docs.columns), sanitise=True)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    names = common.veiled(docs)
+    plain = docs.select("doc_id", "text", *[common.quoted(c).alias(x) for c, x in names.items()])
+    return common.unveiled(found(plain, disclosive(docs), tuple(names.values()), sanitise=True), docs)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:

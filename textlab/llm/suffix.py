@@ -11,7 +11,7 @@ BUCKET segments: a larger bucket is dealt into parts, and what the parts leave o
 between them by the bytes that 16 neighbouring strings share, then string by string.
 
 Hashes have 64 bits. Null text counts as empty; texts under LENGTH bytes lose nothing; matches
-never cross documents. Repeated rows are copies of each other and lose all that is long enough.
+never cross documents. Repeated rows are copies of each other and lose all that is long enough. Null ids are ids.
 """
 
 from __future__ import annotations
@@ -209,7 +209,7 @@ def applied(docs: DataFrame, spans: DataFrame, finish: Callable, schema: str, ke
 
     without = docs.mapInPandas(split(False), f"{schema}, doc_id long{kept}")
     with_spans = docs.mapInPandas(split(True), f"doc_id long, text string{kept}, row long").join(spans, "row", "left")
-    return without.unionByName(with_spans.mapInPandas(end, f"{schema}, doc_id long{kept}"))
+    return common.own_ids(without.unionByName(with_spans.mapInPandas(end, f"{schema}, doc_id long{kept}")))
 
 
 def rest(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -223,12 +223,10 @@ def rest(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs without repeated strings; what is cut through of a character goes too. n_chars follows."""
     common.small_batches(docs.sparkSession)
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    plain = common.texts(docs, *keep)
-    out = applied(plain, repeated(plain.select("doc_id", "text"), length), lambda data, spans: (rest(data, spans).decode(errors="ignore"),), "text string", keep)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    names = common.veiled(docs)
+    plain = common.texts(docs, *[common.quoted(c).alias(x) for c, x in names.items()])
+    out = applied(plain, repeated(plain.select("doc_id", "text"), length), lambda data, spans: (rest(data, spans).decode(errors="ignore"),), "text string", tuple(names.values()))
+    return common.unveiled(out, docs)
 
 
 def digest(data: bytes, spans: list[tuple[int, int]]) -> tuple:

@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id, further columns of docs by name, score."""
+    """doc_id, further columns of docs by name (none may be named score), score."""
     common.small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,7 +177,8 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     columns = ["doc_id", *keep] if "text" in keep else ["doc_id", "text", *keep]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", *keep])
-    return docs.select(*columns).mapInPandas(run, f"{schema}, score double")
+    rows = docs.select(*columns).withColumn("doc_id", F.coalesce("doc_id", F.lit(common.NO_ID)))
+    return common.own_ids(rows.mapInPandas(run, f"{schema}, score double"))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
