@@ -5,9 +5,11 @@ near an entity reveals it if knowing the term makes the entity likely: with the
 information PMI(e; t) = log2(p(e | t) / p(e)) and the entity's information IC(e) = -log2 p(e),
 estimated from co-occurrence in the whole corpus, t is disclosive if PMI >= DISCLOSED * IC. Terms
 that give the entity away (PMI >= REMOVED * IC) are removed, other disclosive ones generalised.
+A kind of entity is an entity too, so terms beside ever new values of a kind are found as well.
 
-Contexts with equal words count once, so copies of a document are no evidence; a pair needs
-SUPPORT contexts. Null text counts as empty and has no spans. Repeated rows are treated one by one.
+Of p(e | t) the lower end of its confidence interval is taken (Wilson, Z): support follows the
+evidence, and one context may do in a large corpus. Contexts with equal words are the evidence of
+one, so copies of a document are none. Null text counts as empty and has no spans. Repeated rows are treated one by one.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 KINDS = ("email", "ip", "card", "phone", "term")
-DISCLOSED, REMOVED, SUPPORT = 0.8, 0.95, 3
+DISCLOSED, REMOVED, SUPPORT = 0.8, 0.95, 1
+#: Width of the confidence interval of p(e | t) in standard deviations: 95%.
+Z = 1.96
 #: Words on either side that make up a context.
 REACH = 8
 #: Disclosive pairs, or terms to count, up to which they are broadcast; more are joined by a shuffle.
@@ -100,6 +104,23 @@ def number(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def lower(p: Column, n: Column) -> Column:
+    """The lower end of Wilson's interval for a share p of n."""
+    z = Z * Z / n
+    return (p + z / 2 - F.sqrt(z * (p * (1 - p) + z / 4))) / (1 + z)
+
+
+#: The kinds as entities.
+KIND_IDS = [number(k) for k in KINDS]
+
+
+def beside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, list[tuple[str, int, int]]]]:
+    """What near() gives, and the same of each span's kind."""
+    for (_, kind, _), (entity, context, words) in zip(spans, near(text, spans), strict=True):
+        yield entity, context, words
+        yield KIND_IDS[kind], context, words
+
+
 def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT, broadcast_terms: int = BROADCAST_PAIRS) -> DataFrame:
     """(entity, term, share): pairs whose PMI is share of the entity's information, disclosed at least."""
     spark = docs.sparkSession
@@ -108,14 +129,14 @@ def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUP
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(e, c, sorted({w for w, _, _ in ws})) for t in f["text"] for e, c, ws in near(t, base_spans(t))]
+            rows = [(e, c, sorted({w for w, _, _ in ws})) for t in f["text"] for e, c, ws in beside(t, base_spans(t))]
             if rows:
                 yield pd.DataFrame(rows, columns=["entity", "context", "terms"])
 
     seen = common.stored(docs.mapInPandas(contexts, "entity long, context long, terms array<string>").dropDuplicates(["entity", "context"]))
-    often = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
-    pairs = seen.join(often, "entity").select("entity", "n_entity", F.explode("terms").alias("term"))
-    pairs = common.stored(pairs.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= support))
+    often = seen.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= support)
+    pairs = common.stored(pairs.join(often, "entity").select("entity", "n_entity", "term", "together"))
     total = docs.count()
     names = pairs.select("term").distinct()
     if names.count() <= broadcast_terms:
@@ -133,13 +154,19 @@ def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUP
     else:
 
         def every(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts: Counter = Counter()
             for f in frames:
-                counts = Counter(w for t in f["text"] for w in set(TERM.findall(t.lower())))
-                yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}).astype({"term": str, "n": "int64"})
+                for t in f["text"]:
+                    counts.update(set(TERM.findall(t.lower())))
+                if len(counts) > 500_000:
+                    yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
+                    counts.clear()
+            if counts:
+                yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
 
         spread = docs.mapInPandas(every, "term string, n long").join(names, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
     info = F.log2(F.lit(total) / F.col("n_entity"))
-    known = F.log2(F.least(F.lit(1.0), F.col("together") / F.col("n_term")))  # log2 p(e | t)
+    known = F.log2(lower(F.least(F.lit(1.0), F.col("together") / F.col("n_term")), F.col("n_term")))  # log2 p(e | t)
     share = F.when(info > 0, (info + known) / info).otherwise(0.0)
     return common.stored(pairs.join(spread, "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosed))
 
@@ -177,7 +204,7 @@ def found(docs: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = (), sanitis
 
         def open_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                rows = {(r, e, w) for r, t in zip(f["row"], f["text"], strict=True) for e, _, ws in near(t, base_spans(t)) for w, _, _ in ws}
+                rows = {(r, e, w) for r, t in zip(f["row"], f["text"], strict=True) for e, _, ws in beside(t, base_spans(t)) for w, _, _ in ws}
                 if rows:
                     yield pd.DataFrame(list(rows), columns=["row", "entity", "term"])
 
@@ -192,7 +219,7 @@ def found(docs: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = (), sanitis
                 spans = base_spans(t)
                 known = shares.value if shares else {(x["entity"], x["term"]): x["share"] for x in (f["own"].iloc[k] if f["own"].iloc[k] is not None else ())}
                 more: dict[tuple[int, int], float] = {}
-                for e, _, ws in near(t, spans) if known else ():
+                for e, _, ws in beside(t, spans) if known else ():
                     for w, a, b in ws:
                         if (e, w) in known:
                             more[a, b] = max(more.get((a, b), 0.0), known[e, w])
