@@ -21,3 +21,14 @@ def test_pii_disclosure(spark):
     assert not {"lorem", "the"} & {w for _, w in got}
     said = {r["doc_id"]: r["text"] for r in pii.sanitised(df).filter("doc_id IN (7, 40)").collect()}
     assert "inbox" not in said[7] and "Quillfeather" not in said[40] and "lorem" in said[7] + said[40]
+
+
+def test_pii_copies_cancel_out(spark):
+    rng = random.Random(9)
+    rows = [f"{filler(rng, 6)} Zorblatt zed@zed.org {filler(rng, 6)}" for _ in range(3)]
+    rows += [filler(rng, 20) for _ in range(3000)]
+    shares = []
+    for texts in (rows, rows + rows[:1] * 300):  # one of the three contexts comes 300 times more
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        shares.append({(r["entity"], r["term"]): r["share"] for r in pii.disclosive(df).collect()})
+    assert (pii.number("0:zed@zed.org"), "zorblatt") in shares[0] and shares[0] == shares[1]

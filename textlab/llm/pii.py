@@ -8,8 +8,8 @@ that give the entity away (PMI >= REMOVED * IC) are removed, other disclosive on
 A kind of entity is an entity too, so terms beside ever new values of a kind are found as well.
 
 Of p(e | t) the lower end of its confidence interval is taken (Wilson, Z): support follows the
-evidence, and one context may do in a large corpus. Contexts with equal words are the evidence of
-one, so copies of a document are none. Null text counts as empty and has no spans. Repeated rows are treated one by one.
+evidence, and one context may do in a large corpus. All counts are of distinct texts, so copies of
+a document change nothing; texts whose contexts have equal words are the evidence of one. Null text counts as empty and has no spans. Repeated rows are treated one by one.
 """
 
 from __future__ import annotations
@@ -125,18 +125,22 @@ def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUP
     """(entity, term, share): pairs whose PMI is share of the entity's information, disclosed at least."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    docs = common.texts(docs)
+    docs = common.stored(common.texts(docs).select("text").distinct()).withColumn("at", F.monotonically_increasing_id())
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(e, c, sorted({w for w, _, _ in ws})) for t in f["text"] for e, c, ws in beside(t, base_spans(t))]
+            rows = [(e, k, c, sorted({w for w, _, _ in ws})) for k, t in zip(f["at"], f["text"], strict=True) for e, c, ws in beside(t, base_spans(t))]
             if rows:
-                yield pd.DataFrame(rows, columns=["entity", "context", "terms"])
-
-    seen = common.stored(docs.mapInPandas(contexts, "entity long, context long, terms array<string>").dropDuplicates(["entity", "context"]))
-    often = seen.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= support)
-    pairs = common.stored(pairs.join(often, "entity").select("entity", "n_entity", "term", "together"))
+                yield pd.DataFrame(rows, columns=["entity", "at", "context", "terms"])
+
+    seen = common.stored(docs.mapInPandas(contexts, "entity long, at long, context long, terms array<string>"))
+    often = seen.select("entity", "at").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    each = seen.select("entity", "at", "context", F.explode("terms").alias("term"))
+    # Each pair's texts, and its contexts with different words; apart, as one aggregate of two distinct counts would expand the rows.
+    texts = each.select("entity", "term", "at").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
+    apart = each.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_context"))
+    pairs = texts.join(apart, ["entity", "term"]).filter(F.col("n_context") >= support).join(often, "entity")
+    pairs = common.stored(pairs.select("entity", "n_entity", "term", "together", "n_context"))
     total = docs.count()
     names = pairs.select("term").distinct()
     if names.count() <= broadcast_terms:
@@ -166,7 +170,8 @@ def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUP
 
         spread = docs.mapInPandas(every, "term string, n long").join(names, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
     info = F.log2(F.lit(total) / F.col("n_entity"))
-    known = F.log2(lower(F.least(F.lit(1.0), F.col("together") / F.col("n_term")), F.col("n_term")))  # log2 p(e | t)
+    weight = F.least(F.lit(1.0), F.col("n_context") / F.col("together"))  # of a text as evidence
+    known = F.log2(lower(F.least(F.lit(1.0), F.col("together") / F.col("n_term")), F.col("n_term") * weight))  # log2 p(e | t)
     share = F.when(info > 0, (info + known) / info).otherwise(0.0)
     return common.stored(pairs.join(spread, "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosed))
 
