@@ -1,8 +1,13 @@
 """What the review of round 1 found missing."""
 
+import math
 import random
+from collections import Counter
 
-from textlab.llm import pii
+import numpy as np
+import pytest
+
+from textlab.llm import lm, pii
 
 
 def filler(rng, n):
@@ -32,3 +37,26 @@ def test_pii_copies_cancel_out(spark):
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         shares.append({(r["entity"], r["term"]): r["share"] for r in pii.disclosive(df).collect()})
     assert (pii.number("0:zed@zed.org"), "zorblatt") in shares[0] and shares[0] == shares[1]
+
+
+def test_lm_scores_words_not_only_their_classes(spark):
+    common_words = [f"w{k:02}x" for k in range(lm.WORDS)]
+    rows = [" ".join(common_words)] * 50 + ["often-q rarely-q"] + ["often-q often-q"] * 9 + ["a b c"] + ["", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(df, rounds=0).collect()}
+    assert set(got) == set(range(len(rows))) and got[len(rows) - 1] == 0
+    counts = Counter(w for t in rows if t for w in t.split() if w not in common_words)
+    sizes = Counter()
+    for w, n in counts.items():
+        sizes[lm.shared(w)] += n
+    tokens = lm.Tokens(common_words)
+    for k in (0, 50, 51, 60):
+        want = lm.log_probability(lm.drawn(), tokens.ids(rows[k])).sum() + sum(math.log(counts[w] / sizes[lm.shared(w)]) for w in rows[k].split() if w in counts)
+        assert got[k] == pytest.approx(float(want), rel=1e-5)
+    assert got[51] > got[50]  # the same classes, a more frequent word
+
+
+def test_lm_trains_on_short_texts(spark):
+    df = spark.createDataFrame([(k, "so short a text") for k in range(40)], "doc_id long, text string")
+    net = lm.trained(df, ["so", "short", "a", "text"])
+    assert any(not np.array_equal(net[k], lm.drawn()[k]) for k in net)
