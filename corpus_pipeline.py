@@ -50,8 +50,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the 400-byte strings that occur more than once."""
-    return suffix.deduplicated(docs)
+    """All documents, without the 400-byte strings and the passages of over 50 words that occur more than once."""
+    return suffix.deduplicated(docs, words=50)
 
 
 @_stage

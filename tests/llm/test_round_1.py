@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from textlab.llm import lm, pii
 
 
@@ -60,3 +61,13 @@ def test_lm_trains_on_short_texts(spark):
     df = spark.createDataFrame([(k, "so short a text") for k in range(40)], "doc_id long, text string")
     net = lm.trained(df, ["so", "short", "a", "text"])
     assert any(not np.array_equal(net[k], lm.drawn()[k]) for k in net)
+
+
+def test_stage_cuts_short_words(spark):
+    rng = random.Random(11)
+    fresh = lambda n: " ".join("".join(rng.choice("bcdfgh") for _ in range(9)) for _ in range(n))
+    passage, phrase = " ".join(rng.choice("aeiou") + rng.choice("klmnp") for _ in range(55)), fresh(30)
+    rows = [(k, f"{fresh(20)} {passage} {fresh(20)} {phrase} {fresh(5)}") for k in range(2)]
+    out = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert len(passage) < 400 and len(out) == 2
+    assert all(passage not in r["text"] and phrase in r["text"] for r in out)  # 30 words are under both limits

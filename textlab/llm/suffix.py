@@ -220,13 +220,23 @@ def rest(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs without repeated strings; what is cut through of a character goes too. n_chars follows."""
+def deduplicated(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """docs without repeated strings; what is cut through of a character goes too. n_chars follows.
+
+    With words, repeated passages of more words than that go too, however short they are in bytes.
+    """
     common.small_batches(docs.sparkSession)
     names = common.veiled(docs)
     plain = common.texts(docs, *[common.quoted(c).alias(x) for c, x in names.items()])
-    out = applied(plain, repeated(plain.select("doc_id", "text"), length), lambda data, spans: (rest(data, spans).decode(errors="ignore"),), "text string", tuple(names.values()))
-    return common.unveiled(out, docs)
+    base = plain.select("doc_id", "text")
+    least = length if words is None else min(length, 2 * words + 1)  # words + 1 words of one byte with a space between
+    spans = repeated(base, least, min(GRAM, max(1, least // 3)))
+
+    def finish(data: bytes, spans: list[tuple[int, int]]) -> tuple[str]:
+        long = [(a, b) for a, b in spans if b - a >= length or words is not None and len(data[a:b].split()) > words]
+        return (rest(data, long).decode(errors="ignore"),)
+
+    return common.unveiled(applied(plain, spans, finish, "text string", tuple(names.values())), docs)
 
 
 def digest(data: bytes, spans: list[tuple[int, int]]) -> tuple:
