@@ -499,7 +499,7 @@ def cluster_metrics(spark, sf_dir):
 
 @query()
 def kmeans_assignments(spark, sf_dir):
-    return clusters.assignments(clusters.kmeans(clusters.normalised(vectors(spark, sf_dir)), seeds=3), (3, 4, 5))
+    return clusters.assignments(clusters.kmeans(clusters.normalised(vectors(spark, sf_dir))), (3, 4, 5))
 
 
 @query()
