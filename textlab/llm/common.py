@@ -6,13 +6,18 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-#: Rows of an Arrow batch; texts can be long, so far fewer than Spark's default.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch; texts can be long, so far fewer than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +56,30 @@ def unveiled(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*[x.alias(c) for c, x in out.items()])
 
 
+def mapped(df: DataFrame, compute: Callable, read: tuple[str, ...], new: str, keep: tuple[str, ...]) -> DataFrame:
+    """New columns from those read, beside kept ones, which no conversion touches.
+
+    compute takes the columns read as lists and gives the numbers of the rows that stay (None: all) and the new values of each.
+    """
+    own = StructType.fromDDL(new)
+    fields = to_arrow_schema(own)
+    schema = StructType([*own.fields, *[df.schema[c] for c in keep]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, values = compute(*[b.column(c).to_pylist() for c in read])
+            kept = [b.column(c) if at is None else b.column(c).take(pa.array(at, pa.int64())) for c in keep]
+            columns = zip(*values, strict=True) if values else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([*[pa.array(list(v), f.type) for v, f in zip(columns, fields, strict=True)], *kept], schema.names)
+
+    return df.select(*dict.fromkeys([*read, *keep])).mapInArrow(run, schema)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of texts small, unless the user has set a size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, default, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(own))
 
 
 def partitions(spark: SparkSession) -> int:

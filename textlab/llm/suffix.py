@@ -1,22 +1,31 @@
-"""Removal of byte strings that occur elsewhere, by blockwise sorting of suffix buckets.
-
-Every string of LENGTH bytes holds a sampled position, its smallest GRAM-byte hash, and equal strings
-hold it at the same place: the sample covers all offsets at which two strings can differ in
-position, as a difference cover does, but follows the content, so one position in about 170 is
-enough. A bucket is all suffixes around one sampled gram. Buckets of one gram fall away; in the
-others whole segments (all strings with that sampled position) are ranked first by hash, so equal
-segments, as in copies of a document, need no sorting. One segment of each rank goes into its
-bucket, where the strings are sorted by their hashes and equal neighbours are found. Memory is bounded by
-BUCKET segments: a larger bucket is dealt into parts, and what the parts leave open is matched
-between them by the bytes that 16 neighbouring strings share, then string by string.
-
-Hashes have 64 bits. Null text counts as empty; texts under LENGTH bytes lose nothing; matches
-never cross documents. Repeated rows are copies of each other and lose all that is long enough. Null ids are ids.
+"""Removal of strings that occur elsewhere, by blockwise sorting of suffix buckets with a difference cover.
+
+A text is a row of symbols, bytes or words. Sampled are the places whose number modulo v lies in a
+difference cover: any two places then have an offset below v at which both are sampled, so equal
+strings of `length` symbols hold an aligned pair of samples with length - v + 1 equal symbols after
+them. These leading symbols, the gram, make the bucket of a sampled suffix; buckets of one fall away.
+
+The rank of a sample is precomputed from its context, the v - 1 symbols before it and the length
+from it on: samples of one rank tie as far as any string reaches that passes them, so all strings
+of their contexts are repeated, and one sample of a rank stands for all in the sort. A task then
+sorts one bucket at a time: the suffixes in symbol order with the common prefixes of neighbours,
+the symbols before them likewise. A string that starts d symbols before a sample is repeated if
+its d symbols tie with another's in one order and the rest in the other; the sort never
+looks beyond the contexts, so memory is bounded by BUCKET of them, however long a tie is. A larger
+bucket is dealt into parts, and what the parts leave open is matched between them by what RUN
+neighbouring strings share, then string by string.
+
+Grams, contexts and strings matched between parts are compared by 64-bit hashes, everything else by its symbols.
+Null text counts as empty; texts under `length` symbols lose nothing; matches never cross
+documents. Repeated rows are copies of each other and lose all that is long enough. Null ids are
+ids. An empty table gives no rows. Long texts are worked through in blocks of BLOCK symbols.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,9 +38,16 @@ from . import common
 from .common import Bits, merged
 from .rolling import between, mixed, prefix
 
+#: Bytes of a string, and least symbols of a gram.
 LENGTH, GRAM = 400, 64
 #: Segments of a bucket that one task sorts at once, and neighbouring strings that are matched together between parts.
-BUCKET, RUN = 4_096, 16
+BUCKET, RUN = 2_048, 16
+#: Symbols of a text that are hashed at once, hashes that a task sorts before it sends them, and tasks' shares of hashes for each shuffle partition.
+BLOCK, HELD, SHARES = 1 << 19, 1 << 20, 16
+#: Symbols of segments that a task holds at once.
+SORTED = 4 << 20
+
+Symbols = Callable[[bytes], np.ndarray]
 
 
 def row_key(doc_id, data: bytes) -> int:
@@ -39,34 +55,78 @@ def row_key(doc_id, data: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(repr(doc_id).encode() + b"\0" + data)).astype(np.int64))
 
 
-def window_min(x: np.ndarray, n: int) -> np.ndarray:
-    """Smallest of each n values in a row."""
-    width = 1
-    while 2 * width <= n:
-        x, width = np.minimum(x[:-width], x[width:]), 2 * width
-    return np.minimum(x[: len(x) - (n - width)], x[n - width :])
+def as_bytes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8)
 
 
-def sampled(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Hashes of the sampled grams, their places, the first and last start of the strings that have each of them, prefix sums."""
-    b = np.frombuffer(data, np.uint8)
-    if len(b) < length:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(1, np.uint64)
-    sums = prefix(b)
-    at = np.arange(len(b) - gram + 1)
-    h = mixed(between(sums, at, at + gram))
-    low = np.uint64((1 << 32) - 1)
-    place = (window_min((h & ~low) | at.astype(np.uint64), length - gram + 1) & low).astype(np.int64)
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    last = np.append(first[1:], len(place)) - 1
-    return h[place[first]].astype(np.int64), place[first], first, last, sums
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
 
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (exclusive) of every word; the six ASCII spaces split."""
+    space = np.concatenate([[True], _SPACE[np.frombuffer(data, np.uint8)], [True]])
+    return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
 
-def segments(place: np.ndarray, first: np.ndarray, last: np.ndarray, sums: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the bytes of all strings of each sampled place, and of where the place is in them."""
-    shape = ((place - first) << 20 | (last - first)).astype(np.uint64)
-    return mixed(between(sums, first, last + length) ^ mixed(shape)).astype(np.int64)
+
+def as_words(data: bytes) -> np.ndarray:
+    """A hash of every word."""
+    start, stop = word_spans(data)
+    out = np.zeros(len(start), np.uint64)
+    b = np.frombuffer(data, np.uint8)
+    k = 0
+    while k < len(start):
+        if stop[k] - start[k] > BLOCK:
+            out[k] = xxhash.xxh3_64_intdigest(data[start[k] : stop[k]])
+            k += 1
+            continue
+        n = max(1, int(np.searchsorted(stop, start[k] + 2 * BLOCK, "right")) - k)  # words up to the block's end
+        if long := np.flatnonzero(stop[k : k + n] - start[k : k + n] > BLOCK).tolist():
+            n = long[0]
+        at = slice(k, k + n)
+        sums = prefix(b[start[k] : stop[k + n - 1]])
+        out[at] = mixed(between(sums, start[at] - start[k], stop[at] - start[k]) + (stop[at] - start[at]).astype(np.uint64))
+        k += n
+    return out
+
+
+@functools.cache
+def cover(most: int) -> tuple[int, np.ndarray]:
+    """(v, residues): a difference cover modulo v, most at most, from the lines of a projective plane of prime order."""
+    for q in (17, 13, 11, 7, 5, 3, 2):
+        v = q * q + q + 1
+        if v > most:
+            continue
+        for a, b, c in itertools.product(range(q), range(q), range(1, q)):  # powers of x modulo x^3 = a x^2 + b x + c
+            x, on_line = (1, 0, 0), []
+            for k in range(v):
+                if not x[2]:
+                    on_line.append(k)
+                x = (c * x[2] % q, (x[0] + b * x[2]) % q, (x[1] + a * x[2]) % q)
+            if len(on_line) == q + 1 and len({(i - j) % v for i in on_line for j in on_line}) == v:
+                return v, np.array(on_line)
+    return 1, np.zeros(1, np.int64)
+
+
+def sampled(symbols: np.ndarray, length: int, v: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Block by block: hashes of the sampled grams, their places, prefix sums and where these start."""
+    residues = cover(v)[1]
+    gram, n = length - v + 1, len(symbols)
+    if n < length:
+        return
+    for base in range(0, n, BLOCK):
+        low, high = max(0, base - v + 1), min(n, base + BLOCK + length)
+        rounds = np.arange(base // v, min(n, base + BLOCK) // v + 1) * v
+        place = (rounds[:, None] + residues[None, :]).ravel()
+        place = place[(place >= base) & (place < base + BLOCK) & (place + gram <= n)]
+        if len(place):
+            sums = prefix(symbols[low:high])
+            yield mixed(between(sums, place - low, place - low + gram)), place, sums, low
+
+
+def contexts(place: np.ndarray, n: int, length: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last symbol (exclusive) of all strings that have each place among their first v symbols."""
+    return np.maximum(0, place - v + 1), np.minimum(n, place + length)
 
 
 def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -77,139 +137,277 @@ def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist(), strict=True))
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """(row, spans): by row_key() the spans of bytes that repeated strings cover; docs: doc_id, text."""
+def dealt(values: np.ndarray, shares: int) -> np.ndarray:
+    """The share of each hash; rises with the hash."""
+    return ((values >> np.uint64(40)) * np.uint64(shares) >> np.uint64(24)).astype(np.int64)
+
+
+def blobs(values: np.ndarray, order: np.ndarray, shares: int) -> Iterator[tuple[int, bytes]]:
+    """The values by their share, which follows order; both rise together."""
+    share = dealt(order, shares)
+    cut = np.flatnonzero(np.diff(share, prepend=-1))
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(share)], strict=True):
+        yield int(share[a]), values[a:b].tobytes()
+
+
+RANKED = np.dtype([("rank", "<u8"), ("gram", "<i8"), ("row", "<i8"), ("place", "<i4"), ("a", "<i4"), ("b", "<i4")])
+COVER = np.dtype([("row", "<i8"), ("a", "<i4"), ("b", "<i4")])
+
+
+def found_twice(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of RANKED rows in the order of their ranks: one of each rank, and COVER rows of all of a rank that comes twice."""
+    lead = np.diff(x["rank"], prepend=~x["rank"][:1]) != 0
+    again = ~lead
+    again[:-1] |= again[1:]
+    return x[lead], x[again][list(COVER.names)].astype(COVER)
+
+
+def covers(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, symbols: Symbols = as_bytes) -> DataFrame:
+    """(row, a, b): by row_key() the spans of symbols that repeated strings cover, which may overlap; docs: doc_id, text."""
     spark = docs.sparkSession
+    v = cover(max(1, length - gram + 1))[0]
+    shares = SHARES * common.partitions(spark)
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pd.DataFrame:
+            h = np.sort(np.concatenate(held))
+            few = h[np.append([True, True], h[2:] != h[:-2])[: len(h)]]  # two of a kind say all
+            return pd.DataFrame(blobs(few, few, shares), columns=["share", "data"])
+
         for f in frames:
-            found, n = np.unique(np.concatenate([sampled(t.encode(), length, gram)[0] for t in f["text"]]), return_counts=True)
-            yield pd.DataFrame({"gram": found, "n": n})
+            for t in f["text"]:
+                for h, *_ in sampled(symbols(t.encode()), length, v):
+                    held.append(h)
+                    size += len(h)
+                if size > HELD:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
-    shared = docs.mapInPandas(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
-    gram_bits = Bits(shared, "gram")
+    def shared(f: pd.DataFrame) -> pd.DataFrame:
+        h = np.sort(np.frombuffer(b"".join(f["data"]), "<u8"))
+        return pd.DataFrame({"gram": np.unique(h[1:][h[1:] == h[:-1]]).astype(np.int64)})
 
-    def own_segments(doc_id, text: str) -> tuple:
-        data = text.encode()
-        h, place, first, last, sums = sampled(data, length, gram)
-        hit = np.flatnonzero(gram_bits.has(h))
-        h, place, first, last = h[hit], place[hit], first[hit], last[hit]
-        return row_key(doc_id, data), data, h, place, first, last, segments(place, first, last, sums, length)
+    gram_bits = Bits(common.stored(docs.mapInPandas(grams, "share int, data binary").groupBy("share").applyInPandas(shared, "gram long")), "gram", 28)
 
     def ranked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pd.DataFrame:
+            x = np.concatenate(held)
+            ones, covers = found_twice(x[np.argsort(x["rank"], kind="stable")])
+            rows = list(blobs(ones, ones["rank"], shares))
+            return pd.DataFrame([*rows, (-1, covers.tobytes())], columns=["share", "data"])
+
         for f in frames:
-            parts = []
             for d, t in zip(f["doc_id"], f["text"], strict=True):
-                row, _, h, place, first, last, rank = own_segments(d, t)
-                parts.append(pd.DataFrame({"gram": h, "rank": rank, "row": row, "place": place, "first": first, "last": last}))
-            yield pd.concat(parts)
+                data = t.encode()
+                s, row = symbols(data), None
+                for h, place, sums, low in sampled(s, length, v):
+                    hit = np.flatnonzero(gram_bits.has(h))
+                    if not len(hit):
+                        continue
+                    row = row_key(d, data) if row is None else row
+                    place = place[hit]
+                    a, b = contexts(place, len(s), length, v)
+                    x = np.empty(len(hit), RANKED)
+                    shape = ((place - a) << 20 | (b - a)).astype(np.uint64)
+                    x["rank"] = mixed(between(sums, a - low, b - low) ^ mixed(shape))
+                    x["gram"], x["row"], x["place"], x["a"], x["b"] = h[hit].astype(np.int64), row, place, a, b
+                    held.append(x)
+                    size += len(x)
+                if size > HELD // 4:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
-    everywhere = common.stored(docs.mapInPandas(ranked, "gram long, rank long, row long, place int, first int, last int"))
-    ranks = common.stored(everywhere.groupBy("gram", "rank").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")))
-    equal = everywhere.join(ranks.filter("n > 1").select("gram", "rank"), ["gram", "rank"]).select("row", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    mixed_grams = common.stored(ranks.groupBy("gram").agg(F.count("*").alias("ranks")).filter("ranks > 1").select("gram", F.ceil(F.col("ranks") / bucket).cast("int").alias("parts")))
-    chosen = ranks.join(mixed_grams, "gram").select(F.xxhash64("one.row", "one.place").alias("one"), F.col("one.row").alias("row"), F.col("one.place").alias("place"))
-    sought = Bits(chosen.select(F.col("row").bitwiseXOR(F.col("place").cast("long") * 0x9E3779B1).alias("at")), "at")
+    met = common.stored(docs.mapInPandas(ranked, "share int, data binary"))
+
+    def equal(f: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(f["data"]), RANKED)
+        ones, covers = found_twice(x[np.argsort(x["rank"], kind="stable")])
+        one = pd.DataFrame({"gram": ones["gram"], "row": ones["row"], "place": ones["place"], "a": 0, "b": 0})
+        return pd.concat([one, pd.DataFrame({"gram": 0, "row": covers["row"], "place": -1, "a": covers["a"], "b": covers["b"]})])
+
+    ranks = common.stored(met.filter("share >= 0").groupBy("share").applyInPandas(equal, "gram long, row long, place int, a int, b int"))
+
+    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for x in f["data"]:
+                yield pd.DataFrame(np.frombuffer(x, COVER))
+
+    out = ranks.filter("place < 0").select("row", "a", "b").unionByName(met.filter("share < 0").mapInPandas(opened, "row long, a int, b int"))
+    ones = ranks.filter("place >= 0").select("gram", "row", "place")
+    buckets = common.stored(ones.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", F.ceil(F.col("n") / bucket).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("row", "place"), F.col("parts")).cast("int").alias("part")
+    wanted = common.stored(ones.join(buckets, "gram").select("row", F.struct("gram", "place", part, "parts").alias("at")).groupBy("row").agg(F.collect_set("at").alias("at")))
+    row_bits = Bits(wanted, "row")
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            data = [t.encode() for t in f["text"]]
+            rows = np.array([row_key(d, x) for d, x in zip(f["doc_id"], data, strict=True)], np.int64)
+            own = np.flatnonzero(row_bits.has(rows))
+            if len(own):
+                yield pd.DataFrame({"row": rows[own], "data": [data[k] for k in own]})
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["gram", "part", "parts", "row", "place", "first", "data"]
         for f in frames:
             out = []
-            for d, t in zip(f["doc_id"], f["text"], strict=True):
-                row, data, h, place, first, last, _ = own_segments(d, t)
-                for k in np.flatnonzero(sought.has(np.int64(row) ^ (place * 0x9E3779B1))):
-                    out.append((int(h[k]), row, int(place[k]), int(first[k]), data[first[k] : last[k] + length]))
+            for row, data, at in zip(f["row"], f["data"], f["at"], strict=True):
+                s = symbols(data)
+                place = np.array([x["place"] for x in at], np.int64)
+                for x, a, b in zip(at, *(y.tolist() for y in contexts(place, len(s), length, v)), strict=True):
+                    out.append((x["gram"], x["part"], x["parts"], row, x["place"], a, s[a:b].tobytes()))
+                if len(out) > 4096:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
             if out:
-                yield pd.DataFrame(out, columns=["gram", "row", "place", "first", "data"])
-
-    pieces = docs.mapInPandas(cut, "gram long, row long, place int, first int, data binary").join(mixed_grams, "gram")
-    part = F.pmod(F.xxhash64("row", "place"), F.col("parts")).cast("int")
-    dealt = pieces.withColumn("part", part).repartition(common.partitions(spark), "gram", "part").sortWithinPartitions("gram", "part")
-
-    def sort(rows: list) -> Iterator[tuple]:
-        """Sorts the strings of the rows' segments; gives for each row its covered spans, and of dealt buckets the open strings by runs."""
-        sums = [prefix(np.frombuffer(r.data, np.uint8)) for r in rows]
-        count = [len(r.data) - length + 1 for r in rows]
-        strings = np.concatenate([mixed(between(s, np.arange(n), np.arange(n) + length)) for s, n in zip(sums, count, strict=True)])
-        _, lead, back, n = np.unique(strings, return_index=True, return_inverse=True, return_counts=True)
-        twice = n[back] > 1
-        once = np.zeros(len(strings), bool)
-        once[lead] = True
-        at = 0
-        for r, s, size in zip(rows, sums, count, strict=True):
-            mine = slice(at, at + size)
-            at += size
-            spans = runs(np.flatnonzero(twice[mine]) + r.first, length)
-            blocks = []
-            if r.parts > 1:
-                own = np.flatnonzero(once[mine])
-                away = r.place - r.first - own  # of the sampled place from each string's start
-                for k in np.unique(away // RUN):
-                    core = r.place - r.first - k * RUN
-                    lo, hi = core, core - RUN + 1 + length  # the bytes that all strings of this run share
-                    these = own[away // RUN == k]
-                    blocks.append({"core": int(mixed(between(s, np.array([lo]), np.array([hi])) ^ np.uint64(k))[0].astype(np.int64)), "strings": strings[mine][these].astype(np.int64).tolist(), "starts": (these + r.first).tolist()})
-            if spans or blocks:
-                yield r.row, [{"a": a, "b": b} for a, b in spans], blocks
+                yield pd.DataFrame(out, columns=columns)
+
+    pieces = docs.mapInPandas(keyed, "row long, data binary").join(wanted, "row").mapInPandas(cut, "gram long, part int, parts int, row long, place int, first int, data binary")
+    lined = pieces.repartition(common.partitions(spark), "gram", "part").sortWithinPartitions("gram", "part")
+    size = symbols(b"").itemsize
 
     def sort_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
-        size, last = 0, None
+        weight, last = 0, None
         columns = ["row", "spans", "blocks"]
         for f in frames:
             for r in f.itertuples():
-                if size > 1_000_000 and (r.gram, r.part) != last:
-                    if out := list(sort(held)):
+                if weight > SORTED and (r.gram, r.part) != last:
+                    if out := list(sort(held, length, v, symbols(b"").dtype)):
                         yield pd.DataFrame(out, columns=columns)
-                    held, size = [], 0
+                    held, weight = [], 0
                 held.append(r)
-                size += len(r.data) - length + 1
+                weight += len(r.data) // size
                 last = (r.gram, r.part)
-        if held and (out := list(sort(held))):
+        if held and (out := list(sort(held, length, v, symbols(b"").dtype))):
             yield pd.DataFrame(out, columns=columns)
 
     span = "array<struct<a:int,b:int>>"
-    found = common.stored(dealt.mapInPandas(sort_buckets, f"row long, spans {span}, blocks array<struct<core:long,strings:array<long>,starts:array<int>>>"))
-    covers = equal.unionByName(found.select("row", F.explode("spans").alias("s")).select("row", "s.a", "s.b"))
-    if not mixed_grams.filter("parts > 1").isEmpty():
+    found = common.stored(lined.mapInPandas(sort_buckets, f"row long, spans {span}, blocks array<struct<core:long,strings:array<long>,starts:array<int>>>"))
+    out = out.unionByName(found.select("row", F.explode("spans").alias("s")).select("row", "s.a", "s.b"))
+    if not buckets.filter("parts > 1").isEmpty():
         blocks = found.select("row", F.explode("blocks").alias("x")).select("row", "x.*")
         often = blocks.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
         strings = common.stored(blocks.join(often, "core", "left_semi").select("row", F.explode(F.arrays_zip("strings", "starts")).alias("s")).select("row", F.col("s.strings").alias("string"), F.col("s.starts").alias("a")))
         twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
-        covers = covers.unionByName(strings.join(twice, "string", "left_semi").select("row", "a", (F.col("a") + length).alias("b")))
-    return common.stored(covers.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+        out = out.unionByName(strings.join(twice, "string", "left_semi").select("row", "a", (F.col("a") + length).alias("b")))
+    return out
+
+
+def neighbours(x: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorts rows of symbols, of which size count, within their groups.
+
+    Gives the place of each row in the order; by place the common prefix with the row before
+    (-1: another group); by row the longest one with a neighbour.
+    """
+    raw = x.astype(x.dtype.newbyteorder(">")).tobytes()
+    width, unit = x.shape[1] * x.itemsize, x.itemsize
+    keys = [(g, raw[k * width : k * width + n * unit]) for k, (g, n) in enumerate(zip(group.tolist(), size.tolist(), strict=True))]
+    order = np.array(sorted(range(len(x)), key=keys.__getitem__))
+    y, n, g = x[order], size[order], group[order]
+    differ = y[1:] != y[:-1]
+    prefix_ = np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1]) if x.shape[1] else np.zeros(len(x) - 1, np.int64)
+    prefix_ = np.where(g[1:] == g[:-1], np.minimum(prefix_, np.minimum(n[1:], n[:-1])), -1)
+    before, after = np.append(-1, prefix_), np.append(prefix_, -1)
+    place, longest = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+    place[order], longest[order] = np.arange(len(x)), np.maximum(before, after)
+    return place, before, longest
+
+
+def sort(rows: list, length: int, v: int, dtype: np.dtype) -> Iterator[tuple]:
+    """Sorts the suffixes of the rows' segments within each gram and part; gives for each row its covered spans, and of dealt buckets the open strings by runs."""
+    m, most = len(rows), v - 1
+    names: dict[tuple, int] = {}
+    group = np.array([names.setdefault((r.gram, r.part), len(names)) for r in rows], np.int64)
+    left_n = np.array([r.place - r.first for r in rows], np.int64)
+    text = [np.frombuffer(r.data, dtype) for r in rows]
+    right_n = np.array([len(t) for t in text], np.int64) - left_n
+    right, left = np.zeros((m, length), dtype), np.zeros((m, most), dtype)
+    for k, (t, n) in enumerate(zip(text, left_n.tolist(), strict=True)):
+        right[k, : len(t) - n] = t[n:]
+        left[k, :n] = t[:n][::-1]
+    right_at, right_common, right_most = neighbours(right, right_n, group)
+    left_at, left_common, left_most = neighbours(left, left_n, group)
+    hit, lead = np.zeros((m, most + 1), bool), np.zeros((m, most + 1), bool)
+    for d in range(most + 1):
+        own = np.flatnonzero((left_most >= d) & (right_most >= length - d))
+        if not len(own):
+            continue
+        tie = np.cumsum(right_common < length - d)[right_at[own]] * (m + 1) + np.cumsum(left_common < d)[left_at[own]]
+        _, first, back, n = np.unique(tie, return_index=True, return_inverse=True, return_counts=True)
+        hit[own, d] = n[back] > 1
+        lead[own[first], d] = True
+    dealt_out = np.array([r.parts > 1 for r in rows])
+    for k in np.flatnonzero(hit.any(axis=1) | dealt_out).tolist():
+        r = rows[k]
+        spans = runs(r.place - np.flatnonzero(hit[k])[::-1], length)
+        blocks = []
+        if dealt_out[k]:
+            away = np.arange(max(0, length - right_n[k]), left_n[k] + 1)  # of the sampled place from each string's start
+            away = away[~hit[k, away] | lead[k, away]]
+            sums = prefix(text[k])
+            strings = mixed(between(sums, left_n[k] - away, left_n[k] - away + length)).astype(np.int64)
+            for run in np.unique(away // RUN).tolist():
+                these = away // RUN == run
+                low = left_n[k] - run * RUN
+                high = min(len(text[k]), low - RUN + 1 + length)  # the symbols that all strings of this run share
+                core = int(mixed(between(sums, np.array([low]), np.array([high])) ^ np.uint64(run))[0].astype(np.int64))
+                blocks.append({"core": core, "strings": strings[these].tolist(), "starts": (r.place - away[these]).tolist()})
+        if spans or blocks:
+            yield r.row, [{"a": a, "b": b} for a, b in spans], blocks
+
+
+def joined(*found: DataFrame) -> DataFrame:
+    """(row, spans) of covers, with overlapping spans joined, by their unit, 0 for the first."""
+    spark = found[0].sparkSession
+    every = [c.select("row", F.lit(k).alias("unit"), "a", "b") for k, c in enumerate(found)]
+    whole = functools.reduce(DataFrame.unionByName, every).withColumn("share", F.pmod("row", F.lit(SHARES * common.partitions(spark))))
+
+    def join(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["row", "unit", "a", "b"], ignore_index=True)
+        far = f.groupby(["row", "unit"])["b"].cummax()
+        new = (f["a"] > far.shift(fill_value=-1)) | (f["row"] != f["row"].shift()) | (f["unit"] != f["unit"].shift())
+        f = f.assign(b=far).groupby(new.cumsum(), sort=False).agg({"row": "first", "unit": "first", "a": "first", "b": "last"})
+        spans = [{"unit": u, "a": a, "b": b} for u, a, b in zip(f["unit"].tolist(), f["a"].tolist(), f["b"].tolist(), strict=True)]
+        return pd.DataFrame({"row": f["row"].to_numpy(), "x": spans}).groupby("row", as_index=False).agg(spans=("x", list))
+
+    return common.stored(whole.groupBy("share").applyInPandas(join, "row long, spans array<struct<unit:int,a:int,b:int>>"))
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
+    """(row, spans): the bytes that repeated strings cover."""
+    return joined(covers(docs, length, gram, bucket))
 
 
 def applied(docs: DataFrame, spans: DataFrame, finish: Callable, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """finish(bytes, merged spans) of every text, with kept columns. Only texts that may have spans are shuffled to them."""
+    """finish(bytes, spans as (unit, a, b)) of every text, with kept columns. Only texts that may have spans are shuffled to them."""
     bits = Bits(spans, "row", 24)
-    names = [x.split()[0] for x in schema.split(", ")]
-    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def split(hit: bool) -> Callable:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                data = [t.encode() for t in f["text"]]
-                rows = np.array([row_key(d, x) for d, x in zip(f["doc_id"], data, strict=True)], np.int64)
-                own = bits.has(rows) == hit
-                if not own.any():
-                    continue
-                g = f[own]
-                if hit:
-                    yield g.assign(row=rows[own])
-                else:
-                    done = [finish(data[k], []) for k in np.flatnonzero(own)]
-                    yield pd.concat([pd.DataFrame(done, columns=names, index=g.index), g[["doc_id", *keep]]], axis=1)
+        def run(doc_ids: list, texts: list) -> tuple[list[int], list]:
+            data = [t.encode() for t in texts]
+            rows = np.array([row_key(d, x) for d, x in zip(doc_ids, data, strict=True)], np.int64)
+            own = np.flatnonzero(bits.has(rows) == hit)
+            return own, [(int(rows[k]),) if hit else finish(data[k], []) for k in own]
 
         return run
 
-    def end(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            done = [finish(t.encode(), merged([(s["a"], s["b"]) for s in (x if x is not None else ())])) for t, x in zip(f["text"], f["spans"], strict=True)]
-            yield pd.concat([pd.DataFrame(done, columns=names, index=f.index), f[["doc_id", *keep]]], axis=1)
+    def end(texts: list, spans: list) -> tuple[None, list]:
+        return None, [finish(t.encode(), [(s["unit"], s["a"], s["b"]) for s in x or ()]) for t, x in zip(texts, spans, strict=True)]
 
-    without = docs.mapInPandas(split(False), f"{schema}, doc_id long{kept}")
-    with_spans = docs.mapInPandas(split(True), f"doc_id long, text string{kept}, row long").join(spans, "row", "left")
-    return common.own_ids(without.unionByName(with_spans.mapInPandas(end, f"{schema}, doc_id long{kept}")))
+    without = common.mapped(docs, split(False), ("doc_id", "text"), schema, ("doc_id", *keep))
+    with_spans = common.mapped(docs, split(True), ("doc_id", "text"), "row long", ("doc_id", "text", *keep)).join(spans, "row", "left")
+    return common.own_ids(without.unionByName(common.mapped(with_spans, end, ("text", "spans"), schema, ("doc_id", *keep))))
 
 
 def rest(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -224,28 +422,37 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, words: int | None = None
     """docs without repeated strings; what is cut through of a character goes too. n_chars follows.
 
     With words, repeated passages of more words than that go too, however short they are in bytes.
+    A passage's first and last word can be glued to what surrounds it, so words - 1 whole ones are asked for.
     """
     common.small_batches(docs.sparkSession)
     names = common.veiled(docs)
     plain = common.texts(docs, *[common.quoted(c).alias(x) for c, x in names.items()])
     base = plain.select("doc_id", "text")
-    least = length if words is None else min(length, 2 * words + 1)  # words + 1 words of one byte with a space between
-    spans = repeated(base, least, min(GRAM, max(1, least // 3)))
+    found = [covers(base, length, min(GRAM, max(1, length // 3)))]
+    if words is not None:
+        found.append(covers(base, max(1, words - 1), max(1, words // 3), symbols=as_words))
+
+    def finish(data: bytes, spans: list[tuple[int, int, int]]) -> tuple[str]:
+        cut = [(a, b) for unit, a, b in spans if unit == 0]
+        if len(cut) < len(spans):
+            start, stop = word_spans(data)
+            cut += [(int(start[a]), int(stop[b - 1])) for unit, a, b in spans if unit == 1]
+        return (rest(data, merged(cut)).decode(errors="ignore"),)
+
+    return common.unveiled(applied(plain, joined(*found), finish, "text string", tuple(names.values())), docs)
 
-    def finish(data: bytes, spans: list[tuple[int, int]]) -> tuple[str]:
-        long = [(a, b) for a, b in spans if b - a >= length or words is not None and len(data[a:b].split()) > words]
-        return (rest(data, long).decode(errors="ignore"),)
 
-    return common.unveiled(applied(plain, spans, finish, "text string", tuple(names.values())), docs)
+def digest(data: bytes, spans: list[tuple[int, int, int]]) -> tuple:
+    cut = merged([(a, b) for _, a, b in spans])
+    return len(data), sum(b - a for a, b in cut), len(cut), hashlib.sha256(rest(data, cut)).hexdigest()
 
 
-def digest(data: bytes, spans: list[tuple[int, int]]) -> tuple:
-    return len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest(data, spans)).hexdigest()
+DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Query: bytes removed from all documents, and digests of what is left."""
     common.small_batches(spark)
     docs = common.texts(common.table(spark, sf_dir, "documents"))
-    out = applied(docs, repeated(docs), digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = applied(docs, repeated(docs), digest, DIGEST)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
