@@ -1,11 +1,14 @@
-"""Polynomial hashes of byte windows, modulo 2**64, by prefix sums."""
+"""Polynomial hashes of byte windows and of words, modulo 2**64, by prefix sums."""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of a text whose words are hashed at once.
+BLOCK = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -39,3 +42,34 @@ def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (exclusive) of every word; the six ASCII spaces split."""
+    space = np.concatenate([[True], _SPACE[np.frombuffer(data, np.uint8)], [True]])
+    return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+
+
+def as_words(data: bytes) -> np.ndarray:
+    """A hash of every word."""
+    start, stop = word_spans(data)
+    out = np.zeros(len(start), np.uint64)
+    b = np.frombuffer(data, np.uint8)
+    k = 0
+    while k < len(start):
+        if stop[k] - start[k] > BLOCK // 2:
+            out[k] = xxhash.xxh3_64_intdigest(data[start[k] : stop[k]])
+            k += 1
+            continue
+        n = max(1, int(np.searchsorted(stop, start[k] + BLOCK, "right")) - k)  # words up to the block's end
+        if long := np.flatnonzero(stop[k : k + n] - start[k : k + n] > BLOCK // 2).tolist():
+            n = long[0]
+        at = slice(k, k + n)
+        sums = prefix(b[start[k] : stop[k + n - 1]])
+        out[at] = mixed(between(sums, start[at] - start[k], stop[at] - start[k]) + (stop[at] - start[at]).astype(np.uint64))
+        k += n
+    return out

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import Bits, merged
-from .rolling import between, mixed, prefix
+from .rolling import as_words, between, mixed, prefix, word_spans
 
 #: Bytes of a string, and least symbols of a gram.
 LENGTH, GRAM = 400, 64
@@ -59,37 +59,6 @@ def as_bytes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """First and last byte (exclusive) of every word; the six ASCII spaces split."""
-    space = np.concatenate([[True], _SPACE[np.frombuffer(data, np.uint8)], [True]])
-    return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-
-
-def as_words(data: bytes) -> np.ndarray:
-    """A hash of every word."""
-    start, stop = word_spans(data)
-    out = np.zeros(len(start), np.uint64)
-    b = np.frombuffer(data, np.uint8)
-    k = 0
-    while k < len(start):
-        if stop[k] - start[k] > BLOCK:
-            out[k] = xxhash.xxh3_64_intdigest(data[start[k] : stop[k]])
-            k += 1
-            continue
-        n = max(1, int(np.searchsorted(stop, start[k] + 2 * BLOCK, "right")) - k)  # words up to the block's end
-        if long := np.flatnonzero(stop[k : k + n] - start[k : k + n] > BLOCK).tolist():
-            n = long[0]
-        at = slice(k, k + n)
-        sums = prefix(b[start[k] : stop[k + n - 1]])
-        out[at] = mixed(between(sums, start[at] - start[k], stop[at] - start[k]) + (stop[at] - start[at]).astype(np.uint64))
-        k += n
-    return out
-
-
 @functools.cache
 def cover(most: int) -> tuple[int, np.ndarray]:
     """(v, residues): a difference cover modulo v, most at most, from the lines of a projective plane of prime order."""
