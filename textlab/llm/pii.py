@@ -4,10 +4,13 @@ The patterns find the protected entities: e-mail and IP addresses, card and phon
 near an entity reveals it if knowing the term makes the entity likely: with the point-wise mutual
 information PMI(e; t) = log2(p(e | t) / p(e)) and the entity's information IC(e) = -log2 p(e),
 estimated from co-occurrence in the whole corpus, t is disclosive if PMI >= DISCLOSED * IC. Terms
-that give the entity away (PMI >= REMOVED * IC) are removed, other disclosive ones generalised.
+that give the entity away (PMI >= REMOVED * IC) are removed. Other disclosive ones are generalised:
+their beginnings, LEVELS letters long, are terms of the corpus too, and the longest one that is not
+disclosive itself takes the term's place; without one the term is removed.
 A kind of entity is an entity too, so terms beside ever new values of a kind are found as well.
+A context is the REACH words on either side of an entity in its line, whole words only.
 
-Of p(e | t) the lower end of its confidence interval is taken (Wilson, Z): support follows the
+Of p(e | t) the lower confidence bound is taken (Wilson, Z): support follows the
 evidence, and one context may do in a large corpus. All counts are of distinct texts, so copies of
 a document change nothing; texts whose contexts have equal words are the evidence of one. Null text counts as empty and has no spans. Repeated rows are treated one by one.
 """
@@ -16,24 +19,31 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .suffix import blobs
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSED, REMOVED, SUPPORT = 0.8, 0.95, 1
-#: Width of the confidence interval of p(e | t) in standard deviations: 95%.
-Z = 1.96
+#: The bound of p(e | t) in standard deviations: 95% from one side.
+Z = 1.645
 #: Words on either side that make up a context.
 REACH = 8
-#: Disclosive pairs, or terms to count, up to which they are broadcast; more are joined by a shuffle.
+#: Lengths of the beginnings that terms are generalised to, the most telling first; in counts they end in *.
+LEVELS = (5, 3, 1)
+#: Disclosive pairs, or terms to count, up to which they are broadcast; more pairs are joined by a shuffle, more terms pass a bitmap.
 BROADCAST_PAIRS = 200_000
+#: Terms that a task counts before it sends them.
+HELD = 500_000
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -86,15 +96,27 @@ def near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, l
     out = []
     taken = common.merged([(a, b) for a, _, b in spans])
     firsts = [a for a, _ in taken]
+    at = [m.span() for m in TERM.finditer(text)]
+    starts, stops = [a for a, _ in at], [b for _, b in at]
+
+    def free(k: int) -> bool:
+        j = bisect_left(firsts, stops[k])  # only the last span that starts before the word's end can reach it
+        return not j or taken[j - 1][1] <= starts[k]
+
     for a, kind, b in spans:
-        low, high = max(0, a - 40 * REACH), min(len(text), b + 40 * REACH)
-        low = low if (e := text.rfind("\n", low, a)) < 0 else e + 1
-        high = high if (e := text.find("\n", b, high)) < 0 else e
-        words = []
-        for m in [*list(TERM.finditer(text, low, a))[-REACH:], *list(TERM.finditer(text, b, high))[:REACH]]:
-            k = bisect_left(firsts, m.end())  # only the last span that starts before the word's end can reach it
-            if not k or taken[k - 1][1] <= m.start():
-                words.append((m[0].lower(), m.start(), m.end()))
+        own = []
+        k, edge = bisect_right(stops, a) - 1, a
+        low = max(-1, k - REACH)
+        while k > low and "\n" not in text[stops[k] : edge]:
+            own.append(k)
+            edge, k = starts[k], k - 1
+        own.reverse()
+        k, edge = bisect_left(starts, b), b
+        high = min(len(at), k + REACH)
+        while k < high and "\n" not in text[edge : starts[k]]:
+            own.append(k)
+            edge, k = stops[k], k + 1
+        words = [(text[starts[k] : stops[k]].lower(), starts[k], stops[k]) for k in own if free(k)]
         value = text[a:b].lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", text[a:b])
         out.append((number(f"{kind}:{value}"), number(" ".join(w for w, _, _ in words)), words))
     return out
@@ -121,15 +143,70 @@ def beside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int,
         yield KIND_IDS[kind], context, words
 
 
+def levels(words: Iterable[str]) -> set[str]:
+    """The words and their beginnings."""
+    found = set(words)
+    return found | {w[:n] + "*" for n in LEVELS for w in found if len(w) > n}
+
+
+def term_counts(docs: DataFrame, names: DataFrame, broadcast_terms: int) -> DataFrame:
+    """(term, n_term): in how many texts each of names occurs. Counts are sent as sorted hashes, a row for each share of them."""
+    spark = docs.sparkSession
+    shares = common.partitions(spark)
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(key=keys(f["term"]).astype(np.int64))
+
+    named = common.stored(names.mapInPandas(hashed, "term string, key long"))
+    few = named.count() <= broadcast_terms
+    sent = spark.sparkContext.broadcast(frozenset(r["term"] for r in named.select("term").collect())) if few else None
+    bits = None if few else common.Bits(named, "key")
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+
+        def out() -> pd.DataFrame:
+            k, n = keys(counts), np.fromiter(counts.values(), np.int64, len(counts))
+            if bits:
+                own = bits.has(k.astype(np.int64))
+                k, n = k[own], n[own]
+            order = np.argsort(k)
+            k, n = k[order], n[order]
+            rows = [(s, x, y) for (s, x), (_, y) in zip(blobs(k, k, shares), blobs(n, k, shares), strict=True)]
+            return pd.DataFrame(rows, columns=["share", "keys", "n"])
+
+        for f in frames:
+            for t in f["text"]:
+                said = levels(TERM.findall(t.lower()))
+                counts.update(sent.value & said if sent else said)
+                if len(counts) > HELD:
+                    yield out()
+                    counts.clear()
+        if counts:
+            yield out()
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        k, back = np.unique(np.frombuffer(b"".join(f["keys"]), "<u8"), return_inverse=True)
+        return pd.DataFrame({"key": k.astype(np.int64), "n_term": np.bincount(back, weights=np.frombuffer(b"".join(f["n"]), "<i8")).astype(np.int64)})
+
+    counted = docs.mapInPandas(count, "share int, keys binary, n binary").groupBy("share").applyInPandas(add, "key long, n_term long")
+    return named.join(counted, "key").select("term", "n_term")
+
+
+def keys(terms: Collection[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
+
+
 def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT, broadcast_terms: int = BROADCAST_PAIRS) -> DataFrame:
-    """(entity, term, share): pairs whose PMI is share of the entity's information, disclosed at least."""
+    """(entity, term, share, general): pairs whose PMI is share of the entity's information, disclosed at least, and the longest beginning of the term whose share is less (null: none)."""
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = common.stored(common.texts(docs).select("text").distinct()).withColumn("at", F.monotonically_increasing_id())
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(e, k, c, sorted({w for w, _, _ in ws})) for k, t in zip(f["at"], f["text"], strict=True) for e, c, ws in beside(t, base_spans(t))]
+            rows = [(e, k, c, sorted(levels(w for w, _, _ in ws))) for k, t in zip(f["at"], f["text"], strict=True) for e, c, ws in beside(t, base_spans(t))]
             if rows:
                 yield pd.DataFrame(rows, columns=["entity", "at", "context", "terms"])
 
@@ -142,52 +219,31 @@ def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUP
     pairs = texts.join(apart, ["entity", "term"]).filter(F.col("n_context") >= support).join(often, "entity")
     pairs = common.stored(pairs.select("entity", "n_entity", "term", "together", "n_context"))
     total = docs.count()
-    names = pairs.select("term").distinct()
-    if names.count() <= broadcast_terms:
-        sent = spark.sparkContext.broadcast(frozenset(r["term"] for r in names.collect()))
-
-        def wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            counts: Counter = Counter()
-            for f in frames:
-                for t in f["text"]:
-                    counts.update(sent.value.intersection(TERM.findall(t.lower())))
-            if counts:
-                yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
-
-        spread = docs.mapInPandas(wanted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    else:
-
-        def every(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            counts: Counter = Counter()
-            for f in frames:
-                for t in f["text"]:
-                    counts.update(set(TERM.findall(t.lower())))
-                if len(counts) > 500_000:
-                    yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
-                    counts.clear()
-            if counts:
-                yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
-
-        spread = docs.mapInPandas(every, "term string, n long").join(names, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
+    spread = term_counts(docs, pairs.select("term").distinct(), broadcast_terms)
     info = F.log2(F.lit(total) / F.col("n_entity"))
     weight = F.least(F.lit(1.0), F.col("n_context") / F.col("together"))  # of a text as evidence
     known = F.log2(lower(F.least(F.lit(1.0), F.col("together") / F.col("n_term")), F.col("n_term") * weight))  # log2 p(e | t)
     share = F.when(info > 0, (info + known) / info).otherwise(0.0)
-    return common.stored(pairs.join(spread, "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= disclosed))
+    shares = common.stored(pairs.join(spread, "term").select("entity", "term", share.alias("share")))
+    safe = shares.filter(F.col("term").endswith("*") & (F.col("share") < disclosed)).select("entity", F.col("term").alias("level"))
+    said = shares.filter(~F.col("term").endswith("*") & (F.col("share") >= disclosed))
+    longer = said.select("*", F.explode(F.array(*[F.concat(F.substring("term", 1, n), F.lit("*")) for n in LEVELS])).alias("level"))
+    best = longer.filter(F.length("level") <= F.length("term")).join(safe, ["entity", "level"]).groupBy("entity", "term").agg(F.max_by("level", F.length("level")).alias("general"))
+    return common.stored(said.join(best, ["entity", "term"], "left"))
 
 
-def masked(text: str, spans: list[tuple[int, int, int, float]], removed: float = REMOVED) -> str:
-    """The text with overlapping spans joined and replaced: entities by their kind, terms by their shape or nothing."""
+def masked(text: str, spans: list[tuple[int, int, int, float, str]], removed: float = REMOVED) -> str:
+    """The text with overlapping spans joined and replaced: entities by their kind, terms by a beginning or nothing."""
     out, at = [], 0
-    for a, kind, b, share in sorted(spans):
+    for a, kind, b, share, general in sorted(spans):
         if b <= at:
             continue
         if a >= at:
             out.append(text[at:a])
             if kind < 4:
                 out.append(f"[{KINDS[kind].upper()}]")
-            elif share < removed:
-                out.append("[NUMBER]" if text[a:b].isdigit() else "[NAME]" if text[a].isupper() else "[WORD]")
+            elif share < removed and general:
+                out.append(text[a : a + len(general) - 1] + "*")
         at = b
     return "".join([*out, text[at:]])
 
@@ -202,10 +258,9 @@ def found(docs: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = (), sanitis
     docs = common.texts(docs, *keep)
     shares = None
     if pairs.count() <= broadcast_pairs:
-        shares = spark.sparkContext.broadcast({(r["entity"], r["term"]): r["share"] for r in pairs.collect()})
-    else:  # the pairs of each text come to it by its place in the input and its hash
-        docs = docs.withColumn("row", F.monotonically_increasing_id())
-        docs = common.stored(docs)
+        shares = spark.sparkContext.broadcast({(r["entity"], r["term"]): (r["share"], r["general"] or "") for r in pairs.collect()})
+    else:  # the pairs of each text come to it by its place in the input
+        docs = common.stored(docs.withColumn("row", F.monotonically_increasing_id()))
 
         def open_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -213,28 +268,30 @@ def found(docs: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = (), sanitis
                 if rows:
                     yield pd.DataFrame(list(rows), columns=["row", "entity", "term"])
 
-        own = docs.mapInPandas(open_pairs, "row long, entity long, term string").join(pairs, ["entity", "term"])
-        own = own.groupBy("row").agg(F.collect_list(F.struct("entity", "term", "share")).alias("own"))
+        own = docs.select("row", "text").mapInPandas(open_pairs, "row long, entity long, term string").join(pairs, ["entity", "term"])
+        own = own.groupBy("row").agg(F.collect_list(F.struct("entity", "term", "share", "general")).alias("own"))
         docs = docs.join(own, "row", "left")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            base, terms, text = [], [], []
-            for k, t in enumerate(f["text"]):
-                spans = base_spans(t)
-                known = shares.value if shares else {(x["entity"], x["term"]): x["share"] for x in (f["own"].iloc[k] if f["own"].iloc[k] is not None else ())}
-                more: dict[tuple[int, int], float] = {}
-                for e, _, ws in beside(t, spans) if known else ():
-                    for w, a, b in ws:
-                        if (e, w) in known:
-                            more[a, b] = max(more.get((a, b), 0.0), known[e, w])
-                base.append([{"start": a, "kind": i, "stop": b} for a, i, b in spans])
-                terms.append([{"start": a, "kind": 4, "stop": b} for a, b in sorted(more)])
-                text.append(masked(t, [(a, i, b, 1.0) for a, i, b in spans] + [(a, 4, b, s) for (a, b), s in more.items()]) if sanitise else None)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "base": base, "terms": terms, "text": text} | {c: f[c] for c in keep})
-
-    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return common.own_ids(docs.mapInPandas(run, f"doc_id long, base {SPANS}, terms {SPANS}, text string{more}"))
+    def run(texts: list, *own: list) -> tuple[None, list]:
+        out = []
+        for k, t in enumerate(texts):
+            spans = base_spans(t)
+            known = shares.value if shares else {(x["entity"], x["term"]): (x["share"], x["general"] or "") for x in own[0][k] or ()}
+            more: dict[tuple[int, int], tuple[float, str]] = {}
+            for e, _, ws in beside(t, spans) if known else ():
+                for w, a, b in ws:
+                    if (e, w) in known:
+                        share, general = known[e, w]
+                        was = more.get((a, b), (share, general))
+                        more[a, b] = max(was[0], share), min(was[1], general, key=len)  # what no entity is disclosed by
+            base = [{"start": a, "kind": i, "stop": b} for a, i, b in spans]
+            terms = [{"start": a, "kind": 4, "stop": b} for a, b in sorted(more)]
+            text = masked(t, [(a, i, b, 1.0, "") for a, i, b in spans] + [(a, 4, b, *x) for (a, b), x in more.items()]) if sanitise else None
+            out.append((base, terms, text))
+        return None, out
+
+    read = ("text",) if shares else ("text", "own")
+    return common.own_ids(common.mapped(docs, run, read, f"base {SPANS}, terms {SPANS}, text string", ("doc_id", *keep)))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
