@@ -7,6 +7,10 @@ therefore a true one, and the text can be cut there. Between such cuts lie the p
 encoded independently. Where an overlap holds no shared boundary (a pre-token longer than the
 overlap), the rest of the text stays one piece. Decoding concatenates the bytes of the ids.
 
+Texts of more than DEALT code points send their chunks and pieces to many tasks, shorter ones are
+chunked, stitched and encoded where they are read. A long run of white space is a pre-token of its
+own but for its last character (the pattern's engine would run out of stack on it).
+
 Null text counts as empty; an empty text has no ids. Every row gives a row, also where doc_ids or
 whole rows repeat or ids are null: pieces find together by id and text, and copies are counted.
 """
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Code points of a chunk, and of its overlap with the next one.
-CHUNK, OVERLAP = 32_768, 1_024
+#: Code points of a chunk, of its overlap with the next one, and of a text that one task still encodes.
+CHUNK, OVERLAP, DEALT = 4_096, 256, 32_768
 #: Code points before a chunk's end in which a boundary could still move.
 MARGIN = 8
 
@@ -46,7 +50,32 @@ def encoding(path: str = RANKS):
 
 @functools.cache
 def _pattern():
-    return regex.compile(public_tokenizers.PATTERN)
+    return regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+
+
+#: A run of white space that is taken out of the text before the pattern is used.
+_RUN = regex.compile(r"\p{White_Space}{4096,}")
+
+
+def ids_of(text: str, path: str = RANKS) -> list[int]:
+    """The ids of a text's pre-tokens, as the encoding gives them."""
+    own, out, at = encoding(path), [], 0
+    for m in _RUN.finditer(text) if len(text) >= 4096 else ():
+        stop = m.end() if m.end() == len(text) else m.end() - 1  # the last character goes with what follows
+        out += own.encode_ordinary(text[at : m.start()])
+        out += own._encode_single_piece(text[m.start() : stop])
+        at = stop
+    return out + own.encode_ordinary(text[at:])
+
+
+def stitched_ids(text: str, path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """The ids of a text by overlapping chunks."""
+    n = -(-(len(text) - overlap) // chunk)
+    if n < 2:
+        return ids_of(text, path)
+    chunks = [text[k * chunk : (k + 1) * chunk + overlap] if k < n - 1 else text[k * chunk :] for k in range(n)]
+    parts = stitch(chunks, chunk, [boundaries(c, k == n - 1) for k, c in enumerate(chunks)])
+    return [i for p in parts for i in ids_of(p, path)]
 
 
 def boundaries(text: str, last: bool) -> list[int]:
@@ -110,37 +139,36 @@ def pieces(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataF
     return marked.groupBy("doc_id", "key").applyInPandas(join, "doc_id long, key long, copies int, piece int, text string")
 
 
-def encode(docs: DataFrame, path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ids array<int>) of every text. Short texts are encoded where they are read; long ones by pieces."""
-    return _encoded(docs, path, chunk, overlap, "doc_id long, ids array<int>", lambda d, ids: (int(d), ids.astype(np.int32)))
+def encode(docs: DataFrame, path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP, dealt: int = DEALT) -> DataFrame:
+    """(doc_id, ids array<int>) of every text."""
+    return _encoded(docs, path, chunk, overlap, dealt, "doc_id long, ids array<int>", lambda d, ids: (int(d), ids.astype(np.int32)))
 
 
-def digests(docs: DataFrame, path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def digests(docs: DataFrame, path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP, dealt: int = DEALT) -> DataFrame:
     """Number and SHA-256 of each text's ids, and SHA-256 of what they decode to."""
-    return _encoded(docs, path, chunk, overlap, DIGEST, lambda d, ids: _digest(d, ids, path))
+    return _encoded(docs, path, chunk, overlap, dealt, DIGEST, lambda d, ids: _digest(d, ids, path))
 
 
-def _encoded(docs: DataFrame, path: str, chunk: int, overlap: int, schema: str, result) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, chunk: int, overlap: int, dealt: int, schema: str, result) -> DataFrame:
     common.small_batches(docs.sparkSession)
     docs = common.texts(docs)
+    dealt = max(dealt, chunk + overlap)
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoding(path)
         for f in frames:
-            yield _frame([result(d, np.array(own.encode_ordinary(t), np.uint32)) for d, t in zip(f["doc_id"], f["text"], strict=True)], schema)
+            yield _frame([result(d, np.array(stitched_ids(t, path, chunk, overlap), np.uint32)) for d, t in zip(f["doc_id"], f["text"], strict=True)], schema)
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoding(path)
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "key": f["key"], "copies": f["copies"], "piece": f["piece"], "ids": [np.array(own.encode_ordinary(t), "<u4").tobytes() for t in f["text"]]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "key": f["key"], "copies": f["copies"], "piece": f["piece"], "ids": [np.array(ids_of(t, path), "<u4").tobytes() for t in f["text"]]})
 
     def concat(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("piece")
         return _frame([result(f["doc_id"].iloc[0], np.frombuffer(b"".join(f["ids"]), "<u4"))] * int(f["copies"].iloc[0]), schema)
 
-    long = pieces(docs.filter(F.length("text") > chunk + overlap), chunk, overlap)
+    long = pieces(docs.filter(F.length("text") > dealt), chunk, overlap)
     long = long.repartition(common.partitions(docs.sparkSession), "doc_id", "piece").mapInPandas(part, "doc_id long, key long, copies int, piece int, ids binary")
-    return common.own_ids(docs.filter(F.length("text") <= chunk + overlap).mapInPandas(whole, schema).unionByName(long.groupBy("doc_id", "key").applyInPandas(concat, schema)))
+    return common.own_ids(docs.filter(F.length("text") <= dealt).mapInPandas(whole, schema).unionByName(long.groupBy("doc_id", "key").applyInPandas(concat, schema)))
 
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:

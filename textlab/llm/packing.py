@@ -35,12 +35,11 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def token_ids(text: str, path: str = bpe.RANKS) -> list[int]:
     """The ids that the json tokenizer gives without adding special tokens; one named in the text is one id."""
-    own = bpe.encoding(path)
     if SPECIAL not in text:
-        return own.encode_ordinary(text)
+        return bpe.ids_of(text, path)
     out: list[int] = []
     for k, part in enumerate(text.split(SPECIAL)):
-        out += [SPECIAL_ID] * (k > 0) + own.encode_ordinary(part)
+        out += [SPECIAL_ID] * (k > 0) + bpe.ids_of(part, path)
     return out
 
 
