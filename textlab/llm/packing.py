@@ -11,6 +11,7 @@ a length that a third of all pieces have is spread over many tasks.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -25,8 +26,6 @@ from . import bpe, common
 
 CAPACITY = 1024
 END_ID = 2
-#: Most moves that the local search makes; each treats all bins of a pattern at once.
-MAX_MOVES = 20_000
 #: The text of the one special token of the json vocabulary, and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
@@ -88,79 +87,102 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[list]:
     return [x for bins in room.values() for x in bins]
 
 
-def improve(plan: list[list], capacity: int = CAPACITY, max_moves: int = MAX_MOVES) -> list[list]:
-    """Local search: pieces wander from emptier to fuller bins while squared fill grows."""
-    merged: Counter = Counter()
-    for content, k in plan:
-        merged[tuple(sorted(content, reverse=True))] += k
-    least = -(-sum(sum(c) * k for c, k in merged.items()) // capacity)
-    holders: dict[int, set] = defaultdict(set)  # underfull patterns by a length that they hold
-    slack: dict[int, set] = defaultdict(set)
-
-    def note(c: tuple, add: bool) -> None:
-        if (free := capacity - sum(c)) > 0:
-            for n in set(c):
-                (holders[n].add if add else holders[n].discard)(c)
-            (slack[free].add if add else slack[free].discard)(c)
-
-    for c in merged:
-        note(c, True)
-
-    def change(c: tuple, k: int) -> None:
-        merged[c] += k
-        if not merged[c]:
-            del merged[c]
-            note(c, False)
-        elif merged[c] == k and c:
-            note(c, True)
-
-    def without(c: tuple, gone: tuple) -> tuple:
-        rest = list(c)
-        for n in gone:
-            rest.remove(n)
-        return tuple(rest)
-
-    def step(source: tuple) -> bool:
-        """One exchange out of source; what leaves is larger than what comes, the target is fuller."""
-        fill = sum(source)
-        tries = [((a,), a) for a in sorted(set(source), reverse=True)]
-        tries += [((a, b), a + b) for i, a in enumerate(source) for b in source[i + 1 :]][:64]
-        for out, size in tries:
-            fitting = sorted(s for s, cs in slack.items() if cs and s >= size)
-            for s in fitting:  # a move, to the fullest that has room
-                for target in slack[s]:
-                    if target != source and capacity - s + size > fill:
-                        return apply(source, target, out, ())
-            widest = max((s for s, cs in slack.items() if cs), default=0)
-            for gain in range(min(widest, size - 1), 0, -1):  # a swap, the most at once
-                back = size - gain
-                for target in holders.get(back, ()):
-                    free = capacity - sum(target)
-                    if target != source and free >= gain and capacity - free + gain > fill:
-                        return apply(source, target, out, (back,))
-        return False
-
-    def apply(source: tuple, target: tuple, out: tuple, back: tuple) -> bool:
-        k = min(merged[source], merged[target])
-        new_source = tuple(sorted(without(source, out) + back, reverse=True))
-        new_target = tuple(sorted(without(target, back) + out, reverse=True))
-        change(source, -k)
-        change(target, -k)
-        if new_source:
-            change(new_source, k)
-        change(new_target, k)
-        return True
-
-    moves, stuck = 0, set()
-    while moves < max_moves and sum(merged.values()) > least:
-        source = min((c for c in merged if sum(c) < capacity and c not in stuck), key=lambda c: (sum(c), c), default=None)
-        if source is None:
-            break
-        if step(source):
-            moves += 1
+class Bins:
+    """Patterns (lengths in falling order) of a plan with their numbers; underfull ones are found by slack, and by a length and slack."""
+
+    def __init__(self, plan: list[list], capacity: int):
+        self.capacity = capacity
+        self.number: Counter = Counter()
+        #: Patterns by (length, slack); length 0 stands for any. A mask has a bit for each slack of a length.
+        self.found: dict[tuple[int, int], set] = defaultdict(set)
+        self.mask: dict[int, int] = defaultdict(int)
+        self.emptiest: list[tuple[int, tuple]] = []
+        for content, k in plan:
+            self.add(tuple(sorted(content, reverse=True)), k)
+
+    def add(self, c: tuple, k: int) -> None:
+        self.number[c] += k
+        if c and self.number[c] == k and (slack := self.capacity - sum(c)):
+            heapq.heappush(self.emptiest, (sum(c), c))
+            for n in {0, *c}:
+                self.found[n, slack].add(c)
+                self.mask[n] |= 1 << slack
+
+    def take(self, c: tuple, k: int) -> None:
+        self.number[c] -= k
+        if not self.number[c]:
+            del self.number[c]
+            slack = self.capacity - sum(c)
+            for n in {0, *c} if slack else ():
+                self.found[n, slack].discard(c)
+                if not self.found[n, slack]:
+                    self.mask[n] &= ~(1 << slack)
+
+    def target(self, source: tuple, n: int, gain: int) -> tuple | None:
+        """The fullest pattern with the length n that has room for gain and ends fuller than the source is, the source itself if there are two."""
+        most = self.capacity - sum(source) + gain  # its slack is less
+        bits = self.mask[n] >> gain
+        while bits:
+            slack = gain + (bits & -bits).bit_length() - 1
+            if slack >= most:
+                return None
+            for c in self.found[n, slack]:
+                if c != source or self.number[c] > 1 and (n == 0 or c.count(n) > 0):
+                    return c
+            bits &= bits - 1
+        return None
+
+
+def without(c: tuple, gone: tuple) -> list[int]:
+    rest = list(c)
+    for n in gone:
+        rest.remove(n)
+    return rest
+
+
+def exchange(bins: Bins, source: tuple) -> tuple | None:
+    """(target, what leaves source, what comes back) that lets squared fill grow: a move, or a swap of one or two for one, the most at once."""
+    outs = [((a,), a) for a in sorted(set(source), reverse=True)]
+    outs += sorted({((a, b), a + b) for i, a in enumerate(source) for b in source[i + 1 :]}, key=lambda x: -x[1])
+    widest = bins.mask[0].bit_length() - 1
+    for out, size in outs:
+        if target := bins.target(source, 0, size):
+            return target, out, ()
+        for back in range(max(1, size - widest), size):
+            if bins.mask[back] and (target := bins.target(source, back, size - back)):
+                return target, out, (back,)
+    return None
+
+
+def improve(plan: list[list], capacity: int = CAPACITY) -> list[list]:
+    """Local search: pieces wander from emptier to fuller bins while squared fill grows, until no exchange is left or no fewer bins can do."""
+    bins = Bins(plan, capacity)
+    least = -(-sum(sum(c) * k for c, k in bins.number.items()) // capacity)
+    total, stuck, moved = sum(bins.number.values()), [], True
+    while total > least and (bins.emptiest or moved):
+        if not bins.emptiest:  # those that found no partner before the last moves are tried again
+            bins.emptiest, stuck, moved = sorted(x for x in set(stuck) if x[1] in bins.number), [], False
+            continue
+        entry = heapq.heappop(bins.emptiest)
+        source = entry[1]
+        if source not in bins.number:
+            continue
+        if not (found := exchange(bins, source)):
+            stuck.append(entry)
+            continue
+        target, out, back = found
+        k = bins.number[source] // 2 if source == target else min(bins.number[source], bins.number[target])
+        bins.take(source, k)
+        bins.take(target, k)
+        if less := without(source, out) + list(back):
+            bins.add(tuple(sorted(less, reverse=True)), k)
         else:
-            stuck.add(source)
-    return [[list(c), k] for c, k in merged.items()]
+            total -= k
+        bins.add(tuple(sorted(without(target, back) + list(out), reverse=True)), k)
+        if source in bins.number:
+            heapq.heappush(bins.emptiest, entry)
+        moved = True
+    return [[list(c), k] for c, k in bins.number.items()]
 
 
 def slots(plan: list[list]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -182,7 +204,7 @@ def with_longs(df: DataFrame, *names: str) -> StructType:
     return StructType([*df.schema, *(StructField(n, LongType()) for n in names)])
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, max_moves: int = MAX_MOVES, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Adds sequence_id and offset to rows with a length from 1 to the capacity.
 
     The driver gets at most capacity counts, and a count for each partition and length in it, of
@@ -208,7 +230,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_moves: int = MAX_MOVES
     for r in sorted(found, key=lambda r: (r["length"], r["part"])):
         before[r["part"], r["length"]] = counts[r["length"]]
         counts[r["length"]] += r["count"]
-    places = slots(improve(best_fit(dict(counts), capacity), capacity, max_moves))
+    places = slots(improve(best_fit(dict(counts), capacity), capacity))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -224,9 +246,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_moves: int = MAX_MOVES
     return ranked.mapInPandas(place, with_longs(pieces, "sequence_id", "offset"))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, max_moves: int = MAX_MOVES) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Tokenises and packs documents; see tokenised() and pack(). Repeated rows and null ids are packed as well; an empty table gives no rows."""
-    return common.own_ids(pack(common.stored(tokenised(docs, capacity)), capacity, max_moves))
+    return common.own_ids(pack(common.stored(tokenised(docs, capacity)), capacity))
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
