@@ -2,9 +2,12 @@
 
 Every word of a clause has a class: insult, threat, target, negation, report or other. Insults
 and threats carry weights; besides seed words they are learned, as words and as word beginnings,
-from the log-odds of labelled documents. Four transducers are composed into one machine that reads
-a clause once: matches emit their weight, a target nearby raises it, a negation shortly before
-lowers it, and after a reporting verb the rest of the clause counts less. A document's matched
+from the log-odds of labelled documents. Five weighted transducers read the classes: insult and
+threat each look for a target before or after their match (what comes after is guessed by a
+branch that must be kept within REACH words), negation damps matches that follow it shortly, and
+after a reporting verb the rest of the clause counts less. They are composed into one machine, whose
+factor of a word is the product of theirs; a path's score is the sum of the words' weights times
+factors, and a clause's score that of its best accepted path. A document's matched
 clauses (their sum, largest and number) go through a logistic curve fitted to the labelled ones.
 
 Labels, lang, source and doc_id are no inputs of a score. The lexicon and curve are fitted on a
@@ -19,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -41,8 +45,8 @@ TARGET = {"you", "your", "he", "she", "they", "them", "him", "du", "ihr", "sie",
 NEGATION = {"not", "never", "isn", "aren", "kein", "keine", "nicht", "jamais", "nunca", "jamás"}
 REPORT = {"said", "says", "called", "claimed", "quoted", "wrote", "sagte", "behauptete", "disait", "écrit", "dijo", "escribió"}
 SEED_WEIGHT = 2.0
-#: What a near target, a negation before and a report do to a match, and for how many words the first two hold.
-NEAR_TARGET, NEGATED, REPORTED, REACH = 1.2, 0.4, 0.6, 3
+#: Factors of a match: insults and threats with a target near, threats without one, after a negation, after a report; and for how many words a target and a negation hold.
+NEAR_TARGET, AIMED, UNAIMED, NEGATED, REPORTED, REACH = 1.2, 1.3, 0.9, 0.4, 0.6, 3
 
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"\w+")
@@ -60,26 +64,107 @@ class Model:
         return max(seed, self.lexicon.get(word, 0.0), *(self.lexicon.get(word[:n] + "*", 0.0) for n in STEMS))
 
 
-def clause_score(words: list[str], model: Model, weights: dict[str, float]) -> float:
-    """Runs the composed machine; its state: words since a negation and a target, whether a report is open, matches that still wait for a target."""
-    total, since_not, since_target, reported = 0.0, REACH + 1, REACH + 1, False
-    waiting: list[tuple[int, float]] = []
-    for k, w in enumerate(words):
-        since_not, since_target = since_not + 1, since_target + 1
-        if w in NEGATION:
-            since_not = 0
-        elif w in REPORT:
-            reported = True
-        elif w in TARGET:
-            since_target = 0
-            total += sum((NEAR_TARGET - 1) * x for at, x in waiting if k - at <= REACH)
-            waiting = []
-        elif x := weights.get(w, 0.0):
-            x *= (NEGATED if since_not <= REACH else 1.0) * (REPORTED if reported else 1.0)
-            total += x * (NEAR_TARGET if since_target <= REACH else 1.0)
-            if since_target > REACH:
-                waiting.append((k, x))
-    return total
+#: Classes of words.
+OTHER, IS_INSULT, IS_THREAT, IS_TARGET, IS_NEGATION, IS_REPORT = range(6)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """arcs: what (state, class) leads to, as (state, factor of the word's weight); no arc, no path. A path begins in start and ends in one of accepting."""
+
+    start: object
+    arcs: dict[tuple, list[tuple]]
+    accepting: frozenset
+
+
+CLASSES = (OTHER, IS_INSULT, IS_THREAT, IS_TARGET, IS_NEGATION, IS_REPORT)
+
+
+def aimed(match: int, near: float, far: float, reach: int = REACH) -> Transducer:
+    """The factor near for matches with a target among the reach words before or after, far for others. States: words that a target still holds; or, negative, in which one must come."""
+    arcs: dict[tuple, list[tuple]] = {}
+    for state in range(-reach, reach + 1):
+        for c in CLASSES:
+            if c == IS_TARGET:
+                arcs[state, c] = [(reach, 1.0)]
+            elif state < 0:  # a target is owed, and this word is none
+                arcs[state, c] = [(state + 1, near if c == match else 1.0)] if state < -1 else []
+            elif c == match:
+                after = max(0, state - 1)
+                arcs[state, c] = [(after, near)] if state else [(0, far), (-reach, near)]
+            else:
+                arcs[state, c] = [(max(0, state - 1), 1.0)]
+    return Transducer(0, arcs, frozenset(range(reach + 1)))
+
+
+def damped(cue: int, factor: float, reach: int | None) -> Transducer:
+    """The factor for matches within reach words after a cue; up to the clause's end without a reach. States: words that the cue still holds."""
+    most = 1 if reach is None else reach
+    arcs = {}
+    for state in range(most + 1):
+        for c in CLASSES:
+            left = state if reach is None else max(0, state - 1)
+            arcs[state, c] = [(most, 1.0) if c == cue else (left, factor if state and c in (IS_INSULT, IS_THREAT) else 1.0)]
+    return Transducer(0, arcs, frozenset(range(most + 1)))
+
+
+def composed(machines: list[Transducer]) -> Transducer:
+    """One transducer whose states are those of all, with the product of their factors; only states that a path reaches."""
+    start = tuple(m.start for m in machines)
+    arcs: dict[tuple, list[tuple]] = {}
+    todo = [start]
+    while todo:
+        state = todo.pop()
+        if (state, OTHER) in arcs:
+            continue
+        for c in CLASSES:
+            each = [m.arcs[s, c] for m, s in zip(machines, state, strict=True)]
+            arcs[state, c] = [(tuple(s for s, _ in way), float(np.prod([x for _, x in way]))) for way in product(*each)]
+            todo += [s for s, _ in arcs[state, c]]
+    accepting = frozenset(s for s, _ in arcs if all(x in m.accepting for x, m in zip(s, machines, strict=True)))
+    return Transducer(start, arcs, accepting)
+
+
+PARTS = [aimed(IS_INSULT, NEAR_TARGET, 1.0), aimed(IS_THREAT, AIMED, UNAIMED), damped(IS_NEGATION, NEGATED, REACH), damped(IS_REPORT, REPORTED, None)]
+GRAMMAR = composed(PARTS)
+
+
+def word_class(word: str, weight: float) -> int:
+    if word in NEGATION:
+        return IS_NEGATION
+    if word in REPORT:
+        return IS_REPORT
+    if word in TARGET:
+        return IS_TARGET
+    if weight:
+        return IS_THREAT if word in THREAT else IS_INSULT
+    return OTHER
+
+
+def best_path(classes: list[int], weights: list[float], machine: Transducer = GRAMMAR) -> float:
+    """The largest score of an accepted path."""
+    now = {machine.start: 0.0}
+    for c, w in zip(classes, weights, strict=True):
+        new: dict[object, float] = {}
+        for state, score in now.items():
+            for to, factor in machine.arcs[state, c]:
+                if (x := score + w * factor) > new.get(to, -1.0):
+                    new[to] = x
+        now = new
+    return max(score for state, score in now.items() if state in machine.accepting)
+
+
+def clause_score(words: list[str], weights: dict[str, float]) -> float:
+    """The score of a clause; of words of no class in a row, those that no state counts are left out."""
+    classes, own, idle = [], [], 0
+    for word in words:
+        w = weights.get(word, 0.0)
+        c = word_class(word, w)
+        idle = idle + 1 if c == OTHER else 0
+        if idle <= REACH + 1:
+            classes.append(c)
+            own.append(w if c in (IS_INSULT, IS_THREAT) else 0.0)
+    return best_path(classes, own)
 
 
 def features(text: str, model: Model, known: dict[str, float]) -> tuple[float, float, int]:
@@ -96,7 +181,7 @@ def features(text: str, model: Model, known: dict[str, float]) -> tuple[float, f
             hits[w] = x
     if not hits:
         return 0.0, 0.0, 0
-    scores = [s for clause in CLAUSE.split(text) if (s := clause_score(WORD.findall(clause), model, hits))]
+    scores = [s for clause in CLAUSE.split(text) if not hits.keys().isdisjoint(words := WORD.findall(clause)) and (s := clause_score(words, hits))]
     return sum(scores), max(scores, default=0.0), len(scores)
 
 
@@ -168,17 +253,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Model:
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """doc_id, further columns of docs by name (none may be named score), score."""
     common.small_batches(docs.sparkSession)
+    known: dict[str, float] = {}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, float] = {}
-        for f in frames:
-            x = np.array([features(t if t is not None else "", model, known) for t in f["text"]], float).reshape(-1, 3)
-            yield f.drop(columns=[] if "text" in keep else ["text"]).assign(score=curve(x, model))
+    def run(texts: list) -> tuple[None, list]:
+        x = np.array([features(t if t is not None else "", model, known) for t in texts], float).reshape(-1, 3)
+        return None, [(s,) for s in curve(x, model).tolist()]
 
-    columns = ["doc_id", *keep] if "text" in keep else ["doc_id", "text", *keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", *keep])
-    rows = docs.select(*columns).withColumn("doc_id", F.coalesce("doc_id", F.lit(common.NO_ID)))
-    return common.own_ids(rows.mapInPandas(run, f"{schema}, score double"))
+    columns = ("doc_id", *[c for c in keep if c != "doc_id"])
+    return common.mapped(docs, run, ("text",), "score double", columns).select(*columns, "score")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
