@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -87,9 +89,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of this machine."""
+    """The folder of spark.checkpoint.dir; where it is unset and Spark runs in this process (tests), one of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textlab-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -105,6 +109,9 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"textlab-{uuid.uuid4().hex}")
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    if not _written:
+        atexit.unregister(_drop_all)
+        atexit.register(_drop_all, spark)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -122,6 +129,22 @@ def drop_stored(spark: SparkSession, paths: list[str]) -> None:
         _written.remove(p)
 
 
+def _drop_all(spark: SparkSession) -> None:
+    """At the driver's end nothing reads its folders any more."""
+    try:
+        drop_stored(spark, written())
+    except Exception:  # noqa: BLE001  the JVM can be gone
+        _written.clear()
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, stored, without the tables that it stored on its way."""
+    before = set(_written)
+    out = stored(make())
+    drop_stored(spark, [p for p in _written[:-1] if p not in before])
+    return out
+
+
 def crc32_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
@@ -138,15 +161,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Bits:
-    """A set of longs as a bitmap of 2**bits places, by their low bits: what was put in is always found, other values sometimes.
+    """A set of longs as a bitmap of 2**bits places at most, by their low bits: what was put in is always found, other values sometimes.
 
-    Its size is fixed, so it can be broadcast whatever the number of values; a false hit only
+    A place in 64 is taken as long as that needs no more places, so a small set sends little. The size
+    is bounded whatever the number of values, so it can be broadcast; a false hit only
     costs work in the exact step that follows.
     """
 
     def __init__(self, values: DataFrame, column: str, bits: int = 26):
-        self.mask = (1 << bits) - 1
+        values = values.select(column)
         block = 15  # bits of a place within its block: a block has 32,768 places
+        bits = max(block, min(bits, (64 * values.count()).bit_length()))
+        self.mask = (1 << bits) - 1
         places = values.select((F.col(column).bitwiseAND(self.mask)).cast("int").alias("at")).distinct()
 
         def fill(f: pd.DataFrame) -> pd.DataFrame:
@@ -161,6 +187,10 @@ class Bits:
         self.any = bool(whole.any())
         self._sent = values.sparkSession.sparkContext.broadcast(whole)
 
+    def drop(self) -> None:
+        """Once what needed it is stored."""
+        self._sent.destroy()
+
     def __getstate__(self) -> dict:
         return self.__dict__.copy()
 

@@ -200,8 +200,11 @@ def keys(terms: Collection[str]) -> np.ndarray:
 
 def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT, broadcast_terms: int = BROADCAST_PAIRS) -> DataFrame:
     """(entity, term, share, general): pairs whose PMI is share of the entity's information, disclosed at least, and the longest beginning of the term whose share is less (null: none)."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(docs.sparkSession)
+    return common.settled(docs.sparkSession, lambda: _disclosive(docs, disclosed, support, broadcast_terms))
+
+
+def _disclosive(docs: DataFrame, disclosed: float, support: int, broadcast_terms: int) -> DataFrame:
     docs = common.stored(common.texts(docs).select("text").distinct()).withColumn("at", F.monotonically_increasing_id())
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +232,7 @@ def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUP
     said = shares.filter(~F.col("term").endswith("*") & (F.col("share") >= disclosed))
     longer = said.select("*", F.explode(F.array(*[F.concat(F.substring("term", 1, n), F.lit("*")) for n in LEVELS])).alias("level"))
     best = longer.filter(F.length("level") <= F.length("term")).join(safe, ["entity", "level"]).groupBy("entity", "term").agg(F.max_by("level", F.length("level")).alias("general"))
-    return common.stored(said.join(best, ["entity", "term"], "left"))
+    return said.join(best, ["entity", "term"], "left")
 
 
 def masked(text: str, spans: list[tuple[int, int, int, float, str]], removed: float = REMOVED) -> str:

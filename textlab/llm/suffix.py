@@ -197,6 +197,7 @@ def covers(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int
             yield out()
 
     met = common.stored(docs.mapInPandas(ranked, "share int, data binary"))
+    gram_bits.drop()
 
     def equal(f: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(f["data"]), RANKED)
@@ -263,6 +264,7 @@ def covers(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int
 
     span = "array<struct<a:int,b:int>>"
     found = common.stored(lined.mapInPandas(sort_buckets, f"row long, spans {span}, blocks array<struct<core:long,strings:array<long>,starts:array<int>>>"))
+    row_bits.drop()
     out = out.unionByName(found.select("row", F.explode("spans").alias("s")).select("row", "s.a", "s.b"))
     if not buckets.filter("parts > 1").isEmpty():
         blocks = found.select("row", F.explode("blocks").alias("x")).select("row", "x.*")
@@ -350,12 +352,12 @@ def joined(*found: DataFrame) -> DataFrame:
         spans = [{"unit": u, "a": a, "b": b} for u, a, b in zip(f["unit"].tolist(), f["a"].tolist(), f["b"].tolist(), strict=True)]
         return pd.DataFrame({"row": f["row"].to_numpy(), "x": spans}).groupby("row", as_index=False).agg(spans=("x", list))
 
-    return common.stored(whole.groupBy("share").applyInPandas(join, "row long, spans array<struct<unit:int,a:int,b:int>>"))
+    return whole.groupBy("share").applyInPandas(join, "row long, spans array<struct<unit:int,a:int,b:int>>")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """(row, spans): the bytes that repeated strings cover."""
-    return joined(covers(docs, length, gram, bucket))
+    return common.settled(docs.sparkSession, lambda: joined(covers(docs, length, gram, bucket)))
 
 
 def applied(docs: DataFrame, spans: DataFrame, finish: Callable, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -397,9 +399,12 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, words: int | None = None
     names = common.veiled(docs)
     plain = common.texts(docs, *[common.quoted(c).alias(x) for c, x in names.items()])
     base = plain.select("doc_id", "text")
-    found = [covers(base, length, min(GRAM, max(1, length // 3)))]
-    if words is not None:
-        found.append(covers(base, max(1, words - 1), max(1, words // 3), symbols=as_words))
+
+    def passages() -> DataFrame:
+        found = [covers(base, length, min(GRAM, max(1, length // 3)))]
+        if words is not None:
+            found.append(covers(base, max(1, words - 1), max(1, words // 3), symbols=as_words))
+        return joined(*found)
 
     def finish(data: bytes, spans: list[tuple[int, int, int]]) -> tuple[str]:
         cut = [(a, b) for unit, a, b in spans if unit == 0]
@@ -408,7 +413,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, words: int | None = None
             cut += [(int(start[a]), int(stop[b - 1])) for unit, a, b in spans if unit == 1]
         return (rest(data, merged(cut)).decode(errors="ignore"),)
 
-    return common.unveiled(applied(plain, joined(*found), finish, "text string", tuple(names.values())), docs)
+    return common.unveiled(applied(plain, common.settled(docs.sparkSession, passages), finish, "text string", tuple(names.values())), docs)
 
 
 def digest(data: bytes, spans: list[tuple[int, int, int]]) -> tuple:

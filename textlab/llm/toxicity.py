@@ -231,6 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Model:
     """labels: doc_id, toxic (0 or 1; others are left out). Only sample_rows of them, by hash, are used."""
     spark = docs.sparkSession
     common.small_batches(spark)
+    before = set(common.written())
     rows = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
     sample = common.stored(common.texts(docs).join(F.broadcast(rows), "doc_id").select("text", "toxic"))  # at most sample_rows ids
@@ -247,6 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Model:
     y = np.array([r["y"] for r in got for _ in range(r["n"])])
     if len(y) and 0 < y.sum() < len(y):
         model.curve = tuple(logistic(np.log1p(x), y))
+    common.drop_stored(spark, [p for p in common.written() if p not in before])
     return model
 
 
