@@ -1,16 +1,18 @@
 """N-gram Jaccard join by T-occurrence search.
 
-Two sets of sizes n and m with the wanted Jaccard index share T elements at least. Of the T most
-frequent elements of a set (its long inverted lists) all but one can be left aside: a partner
-must occur in one of the n - T + 1 others (the short lists), so only those are merged. The partners they give
-are then probed by binary search for all elements and kept if they reach the overlap. Order is by
-counts over the whole corpus, in a sketch of fixed size; any order gives the same result, a rough
-one only more candidates.
+Two sets of sizes n and m with the wanted Jaccard index share T elements at least. DivideSkip parts
+the n inverted lists of a set's elements, in the order of their lengths: the L longest, with
+L = T / (MU * log2(longest list) + 1), are only probed, the others merged. A partner
+must occur in T - L of the merged ones, which for both sets are their rarest elements, so only
+these are posted. What reaches that many is then probed by binary search for all elements and kept if
+it reaches the overlap. Lengths are counts over the whole corpus, in a sketch of fixed size; any order gives the same
+result, a rough one only more candidates.
 
 Equal sets are one class, which takes part once. First each class is tried
 against two hubs of each of its lists: the member that shares most elements, so the middle of a
 group of near copies, and the lowest in a random order. This joins large groups without forming
-their pairs. Then all pairs of a list are tried that are still in different components.
+their pairs. Then every class that has lists with other components left searches them: what can link of each
+list (dealt in blocks of LIST) comes to it in order, and a heap merges these lists.
 Candidates are sifted by size, place in the list and parity: sets whose bucket parities (two
 buckets for each element at least) differ in more places than the sets may differ in elements
 cannot link.
@@ -24,8 +26,11 @@ same doc_id too) are copies. Null ids name no component but their own. An empty
 
 from __future__ import annotations
 
+import heapq
+import math
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -39,8 +44,10 @@ from .rolling import mixed
 
 #: Counters of the corpus sketch, and how many a row of it holds.
 SKETCH, BLOCK = 1 << 20, 1 << 12
-#: Hubs that a class is tried against before all pairs that are left.
+#: Hubs that a class is tried against before it searches the lists that are left.
 PARTNERS = 8
+#: DivideSkip's weight of a list's length, and classes of a list that are searched at once.
+MU, LIST = 0.002, 1_024
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -63,12 +70,18 @@ def class_id(s: np.ndarray) -> int:
 class Threshold:
     """A Jaccard index of num / den at least."""
 
-    def __init__(self, num: int, den: int):
+    def __init__(self, num: int, den: int, longest: int = 1):
         self.num, self.den = num, den
+        self.probe = 1 / (MU * math.log2(max(2, longest)) + 1)
+
+    def merged(self, n: int) -> int:
+        """In how many of the merged lists a partner of a set of n occurs at least: T - L."""
+        t = -(-self.num * n // self.den)
+        return max(1, t - int(t * self.probe))
 
     def short(self, n: int) -> int:
         """Number of lists to merge for a set of n."""
-        return n - -(-self.num * n // self.den) + 1
+        return n - -(-self.num * n // self.den) + self.merged(n)
 
     def overlap(self, n: Column, m: Column) -> Column:
         """Least overlap of sets of n and m."""
@@ -96,7 +109,7 @@ def odd_between(x: Column, y: Column) -> Column:
 
 
 def measured(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, class) of every document, and the sketch: how often elements of each counter occur in the corpus."""
+    """(doc_id, text_hash, n, class) of every document, and the sketch: how often elements of each counter occur in the corpus."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(SKETCH, np.int64)
@@ -105,10 +118,10 @@ def measured(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             if any(len(s) for s in sets):
                 at, n = np.unique(counter(np.concatenate(sets)), return_counts=True)
                 counts[at] += n
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n": [len(s) for s in sets], "class": [class_id(s) for s in sets], "block": -1, "counts": b""})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "text_hash": f["text_hash"], "n": [len(s) for s in sets], "class": [class_id(s) for s in sets], "block": -1, "counts": b""})
         if len(at := np.flatnonzero(counts.reshape(-1, BLOCK).any(axis=1))):
             packed = [zlib.compress(counts[k * BLOCK : (k + 1) * BLOCK].tobytes(), 1) for k in at]
-            yield pd.DataFrame({"doc_id": -1, "n": 0, "class": 0, "block": at, "counts": packed})
+            yield pd.DataFrame({"doc_id": -1, "text_hash": 0, "n": 0, "class": 0, "block": at, "counts": packed})
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, np.int64)
@@ -116,11 +129,11 @@ def measured(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             total += np.frombuffer(zlib.decompress(x), np.int64)
         return pd.DataFrame({"block": [f["block"].iloc[0]], "counts": [total.tobytes()]})
 
-    rows = common.stored(docs.mapInPandas(run, "doc_id long, n long, class long, block int, counts binary"))
+    rows = common.stored(docs.mapInPandas(run, "doc_id long, text_hash long, n long, class long, block int, counts binary"))
     sketch = np.zeros(SKETCH, np.int64)
     for r in rows.filter("block >= 0").groupBy("block").applyInPandas(add, "block int, counts binary").collect():
         sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
-    return common.own_ids(rows.filter("block < 0")).select("doc_id", "n", "class"), sketch
+    return common.own_ids(rows.filter("block < 0")).select("doc_id", "text_hash", "n", "class"), sketch
 
 
 def counter(s: np.ndarray) -> np.ndarray:
@@ -159,11 +172,11 @@ def candidates(docs: DataFrame, sketch: np.ndarray, width: int, least: Threshold
                 short = short_lists(s, sent.value, least)
                 at = np.flatnonzero(bits.has(short))
                 if len(at):
-                    rows.append((c, len(s), parities(s), short[at].astype(np.int64), at.astype(np.int32)))
+                    rows.append((c, len(s), least.merged(len(s)), parities(s), short[at].astype(np.int64), at.astype(np.int32)))
             if rows:
-                yield pd.DataFrame(rows, columns=["class", "n", "odd", "elements", "places"])
+                yield pd.DataFrame(rows, columns=["class", "n", "least", "odd", "elements", "places"])
 
-    return docs.mapInPandas(run, "class long, n long, odd array<long>, elements array<long>, places array<int>")
+    return docs.mapInPandas(run, "class long, n long, least long, odd array<long>, elements array<long>, places array<int>")
 
 
 def possible(pairs: DataFrame, light: DataFrame, least: Threshold) -> DataFrame:
@@ -193,11 +206,12 @@ def sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: Threshold) -> DataFrame:
     """Of the pairs (a, b) those that link; b's set goes to a's, which probes it by binary search."""
-    pairs = common.stored(pairs)
+    part = F.when(F.count("*").over(Window.partitionBy("a")) > LIST, F.pmod(F.xxhash64("b"), F.lit(64))).otherwise(0)
+    pairs = common.stored(pairs.withColumn("part", part.cast("int")))
     sets = common.stored(sets_of(pairs, docs, classes, width))
-    own = sets.join(pairs.select(F.col("a").alias("class")).distinct(), "class").select(F.col("class").alias("a"), F.col("class").alias("b"), "set")
-    other = pairs.join(sets, pairs["b"] == sets["class"]).select("a", "b", "set")
-    lined = own.unionByName(other).repartition(common.partitions(pairs.sparkSession), "a").sortWithinPartitions("a", F.col("a") != F.col("b"), "b")
+    own = sets.join(pairs.select(F.col("a").alias("class"), "part").distinct(), "class").select(F.col("class").alias("a"), "part", F.col("class").alias("b"), "set")
+    other = pairs.join(sets, pairs["b"] == sets["class"]).select("a", "part", "b", "set")
+    lined = own.unionByName(other).repartition(common.partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"), "b")
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x = np.zeros(0, np.uint64)
@@ -220,7 +234,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
 def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, width: int, least: Threshold) -> DataFrame:
     """Edges (a, b) between classes that have the components of all links. classes: class, least doc_id."""
     found = candidates(docs, sketch, width, least)
-    light = common.stored(found.select("class", "n", "odd", F.arrays_zip("elements", "places").alias("lists")).dropDuplicates(["class"]))
+    light = common.stored(found.select("class", "n", "least", "odd", F.arrays_zip("elements", "places").alias("lists")).dropDuplicates(["class"]))
     posted = light.select("class", F.size("lists").alias("shared"), F.explode("lists.elements").alias("element"))
     low = F.shiftrightunsigned(F.xxhash64("class"), 24)  # 40 bits that order at random; the share of elements goes before them
     orders = [low - F.shiftleft(F.col("shared").cast("long"), 40), low]
@@ -232,33 +246,81 @@ def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, width: int, l
     tries = possible(stars, light, least).withColumn("k", F.row_number().over(draw)).filter(F.col("k") <= PARTNERS)
     edges = verified(tries.select("a", "b"), docs, classes, width, least)
     roots = common.components(edges)
-    named = light.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "n", F.coalesce("root", "class").alias("root"), F.explode("lists").alias("e"))
-    named = named.select("class", "n", "root", F.col("e.elements").alias("element"), F.col("e.places").alias("place"))
-    open_lists = named.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("element")
-    left = common.stored(named.join(open_lists, "element", "left_semi"))
-    need = least.overlap(F.col("x.n"), F.col("y.n"))
-    reach = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need  # true of the first element that they share
-    met = (F.col("x.element") == F.col("y.element")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
-    pairs = left.alias("x").join(left.alias("y"), met & sized("x.n", "y.n", least) & reach)
-    pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    named = light.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "n", "least", F.coalesce("root", "class").alias("root"), F.explode("lists").alias("e"))
+    named = named.select("class", "n", "least", "root", F.col("e.elements").alias("element"), F.col("e.places").alias("place"))
+    open_lists = named.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / LIST).cast("int").alias("blocks")).filter("low <> high").select("element", "blocks")
+    left = named.join(open_lists, "element").withColumn("parts", F.max("blocks").over(Window.partitionBy("class")))
+    pairs = searched(common.stored(left), least)
     return edges.unionByName(verified(possible(pairs, light, least), docs, classes, width, least))
 
 
+def searched(left: DataFrame, least: Threshold) -> DataFrame:
+    """Pairs (a, b) of classes of different components that occur in enough of each other's merged lists. left: element, blocks, class, parts, n, least, root, place."""
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block")
+    entry = F.struct("class", "n", "least", "root", "place")
+    lists = left.select("element", block, entry.alias("x")).groupBy("element", "block").agg(F.sort_array(F.collect_list("x")).alias("list"))
+    each = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = each.join(lists, ["element", "block"])
+
+    def fits(y: Column) -> Column:
+        need = F.ceil(least.num * (F.col("n") + y["n"]) / F.lit(least.num + least.den))
+        reach = F.least(F.col("n") - F.col("place"), y["n"] - y["place"]) + F.least(F.col("least"), y["least"]) - 1 >= need  # some of the elements that they share come before
+        close = (least.num * F.col("n") <= least.den * y["n"]) & (least.num * y["n"] <= least.den * F.col("n"))
+        return (y["class"] > F.col("class")) & (y["root"] != F.col("root")) & close & reach
+
+    few = F.transform(F.filter("list", fits), lambda y: F.struct(y["class"].alias("class"), F.least(F.col("least"), y["least"]).alias("least")))
+    found = met.select("class", "parts", few.alias("list")).filter(F.size("list") > 0)
+    split = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.filter("list", lambda y: F.pmod(F.xxhash64(y["class"]), F.col("parts")) == k))
+    found = found.select("class", F.posexplode(split).alias("part", "list")).filter(F.size("list") > 0)
+    lined = found.repartition(common.partitions(left.sparkSession), "class", "part").sortWithinPartitions("class", "part")
+
+    def merge(lists: list) -> list[int]:
+        merged = heapq.merge(*[[(x["class"], x["least"]) for x in one] for one in lists])
+        return [c for (c, enough), same in groupby(merged) if sum(1 for _ in same) >= enough]
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for f in frames:
+            out = []
+            for own, part, one in zip(f["class"], f["part"], f["list"], strict=True):
+                if held and (own, part) != key:
+                    out += [(key[0], b) for b in merge(held)]
+                    held = []
+                key = own, part
+                held.append(one)
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+        if held:
+            yield pd.DataFrame({"a": key[0], "b": merge(held)}).astype("int64")
+
+    return lined.mapInPandas(search, "a long, b long")
+
+
 def sized(n: str, m: str, least: Threshold) -> Column:
     return (least.num * F.col(n) <= least.den * F.col(m)) & (least.num * F.col(m) <= least.den * F.col(n))
 
 
+def grouped(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, root) of every row: root names its component, null without shingles; text_hash is xxhash64 of the text."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    docs = common.texts(docs, F.xxhash64("text").alias("text_hash"))
+    rows, sketch = measured(docs, width)
+
+    def roots() -> DataFrame:
+        classes = common.stored(rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")))
+        return common.components(links(docs, classes, sketch, width, Threshold(num, den, int(sketch.max()))))
+
+    found = common.settled(spark, roots).select(F.col("node").alias("class"), "root")
+    root = F.when(F.col("n") > 0, F.coalesce("root", "class"))
+    return rows.join(found, "class", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), root.alias("root"))
+
+
 def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links lead to, the own one included."""
-    common.small_batches(docs.sparkSession)
-    docs = common.texts(docs)
-    rows, sketch = measured(docs, width)
-    classes = common.stored(rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")))
-    roots = common.components(links(docs, classes, sketch, width, Threshold(num, den)))
-    classes = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "root").select("class", "component_id")
-    return rows.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = grouped(docs, width, num, den)
+    least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
