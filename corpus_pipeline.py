@@ -41,11 +41,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8 the document with the smallest id."""
-    kept = ngram.components(docs, 5, 80, 100).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    """Of each group linked by five-word shingles at 0.8 the row with the smallest id (null: last; ties by a hash of the text), once; all distinct rows without a word."""
+    rows = ngram.grouped(docs, 5, 80, 100)
+    named = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    kept = rows.groupBy(F.coalesce("root", F.xxhash64("doc_id", "text_hash")), F.col("root").isNull()).agg(F.min(named).alias("kept")).select("kept.kept_id", "kept.kept_hash")
     mark = max(docs.columns, key=len) + "_hash"  # longer than any name of docs
-    hashed = docs.withColumn(mark, F.xxhash64("text"))
-    return hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns)
+    hashed = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = hashed["doc_id"].eqNullSafe(kept["kept_id"]) & (hashed[mark] == kept["kept_hash"])
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns)
 
 
 @_stage
