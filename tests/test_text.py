@@ -59,7 +59,7 @@ def test_long_paragraphs_and_sections(spark):
 
 def test_html():
     page = "<nav><li>no</li></nav><article><h1>A<b>b</b></h1><p>one<p>two<!-- c --><br>three</article><footer><p>f</p></footer>"
-    assert html.blocks(page, html.PageRules()) == ["Ab", "one", "two\nthree"]
+    assert html.blocks(page, html.PageRules()) == ["A\nb", "one", "two\nthree"]  # the strings of an h1 are lines
     with pytest.raises(ValueError):
         html.blocks("<p>x</p>", html.PageRules())
 

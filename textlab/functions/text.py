@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -61,3 +61,8 @@ def evidence_found(evidence: Column, text: Column) -> Column:
 def first_of(*values: Column) -> Column:
     """The first value that isn't blank, trimmed."""
     return F.coalesce(*[F.nullif(utrim(v), F.lit("")) for v in values])
+
+
+def trimmed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """All columns named, trimmed of Unicode white space; null becomes empty."""
+    return df.withColumns({c: utrim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns})

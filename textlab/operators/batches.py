@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,41 @@ def round_trip_errors(written: DataFrame, read: DataFrame, key: str) -> DataFram
     return out.unionByName(validate.duplicates(read, key)).unionByName(validate.empty_text(read, key))
 
 
+def batch_errors(written: DataFrame, read: DataFrame, key: str, size: int = 15, columns: list[str] = COLUMNS) -> DataFrame:
+    """round_trip_errors(), and rows in another place, batches over their size and a wrong set of columns. Both: row, batch_id, key."""
+    out = round_trip_errors(written, read, key)
+    moved = read.select(key, F.col("row").alias("_row")).join(written.select(key, "row"), key).filter("row <> _row")
+    full = read.groupBy("batch_id").agg(F.count("*").alias("n")).filter(F.col("n") > size)
+    out = out.unionByName(moved.select(F.lit("moved").alias("error"), F.col(key).cast("string").alias("key")))
+    out = out.unionByName(full.select(F.lit("batch too large").alias("error"), F.col("batch_id").cast("string").alias("key")))
+    if odd := sorted(set(columns) ^ (set(read.columns) - {"row", "batch_id"})):
+        out = out.unionByName(read.sparkSession.createDataFrame([("wrong columns", ", ".join(odd))], "error string, key string"))
+    return out
+
+
+def note(title: str, lists: dict[str, list[str]]) -> str:
+    """An analysis note: a heading and a bullet list for each name."""
+    return "\n".join([f"# {title}", *[line for name, items in lists.items() for line in ("", f"## {name}", "", *[f"- {x}" for x in items])], ""])
+
+
+def console(title: str, df: DataFrame, order: list[str], limit: int = 20) -> str:
+    """A summary for the console: a title, the number of rows and the first of them."""
+    return f"{title}: {df.count()} rows\n{markdown(df, order, limit)}"
+
+
+def run_optional(tasks: dict[str, Callable[[], object]]) -> tuple[dict[str, object], list[str]]:
+    """Runs tasks one by one: those without their input are named in warnings, and none produced at all is an error."""
+    done, warnings = {}, []
+    for name, task in tasks.items():
+        try:
+            done[name] = task()
+        except (FileNotFoundError, AnalysisException) as e:
+            warnings.append(f"{name} skipped: {str(e).splitlines()[0]}")
+    if not done:
+        raise ValueError("no task could run: " + "; ".join(warnings))
+    return done, warnings
+
+
 def cell(x: Column, kind: str) -> Column:
     """A table cell: three decimals, no line ends, bars escaped."""
     if kind in ("double", "float"):

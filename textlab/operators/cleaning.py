@@ -48,6 +48,11 @@ def before_references(found: Column, rules: CleaningRules) -> Column:
     return F.when(at > 0, cut).otherwise(found)
 
 
+def reference_marker(found: Column, rules: CleaningRules) -> Column:
+    """The first line that is a reference marker, or null."""
+    return F.get(F.filter(found, lambda x: x.isin(*rules.reference_markers)), F.lit(0)) if rules.reference_markers else F.lit(None).cast("string")
+
+
 def paragraphs(found: Column) -> Column:
     return F.filter(F.transform(F.split(F.array_join(found, "\n"), r"\n{2,}"), lambda p: F.regexp_replace(p, r"^\n+|\n+$", "")), lambda p: p != "")
 
@@ -57,12 +62,21 @@ def without_repeats(parts: Column) -> Column:
     return F.filter(parts, lambda p, i: (i == 0) | (p != F.coalesce(F.get(parts, i - 1), F.lit(""))))
 
 
-def clean(df: DataFrame, rules: CleaningRules, text: str = "text", unify: bool = True) -> DataFrame:
-    """Adds cleaned, removed_lines, removed_chars and paragraph_count."""
+def clean(df: DataFrame, rules: CleaningRules, text: str = "text", unify: bool = True, kind: str | None = None) -> DataFrame:
+    """Adds cleaned, removed_lines, removed_chars and paragraph_count.
+
+    With kind, a column, references are cut in rows of the kind rules.reference_kind only, and reference_marker names what they were cut at.
+    """
     raw = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_lines", lines(nfkc(raw) if unify else raw))
     df = df.withColumn("_kept", F.filter(F.transform("_lines", tidy), lambda x: ~removable(x, rules)))
-    df = df.withColumn("_paragraphs", paragraphs(before_references(F.col("_kept"), rules)))
+    if kind:
+        cut = F.col(kind).eqNullSafe(F.lit(rules.reference_kind))
+        df = df.withColumn("reference_marker", F.when(cut, reference_marker(F.col("_kept"), rules)))
+        df = df.withColumn("_kept", F.when(cut, before_references(F.col("_kept"), rules)).otherwise(F.col("_kept")))
+    else:
+        df = df.withColumn("_kept", before_references(F.col("_kept"), rules))
+    df = df.withColumn("_paragraphs", paragraphs(F.col("_kept")))
     df = df.withColumn("_paragraphs", without_repeats(F.col("_paragraphs")))
     body = F.array_join("_paragraphs", "\n\n")
     df = df.withColumn("cleaned", F.when(body == "", "").otherwise(F.concat(body, F.lit("\n"))))

@@ -24,7 +24,7 @@ def kmeans(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5), seeds: int = 20, seed
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = df.select(key, array_to_vector(vector).alias("features")).persist()
+    data = df.select(key, array_to_vector(vector).alias("features")).persist()  # fitted seeds times for each k; released below
     out = None
     for k in ks:
         models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(data) for i in range(seeds)]
@@ -33,6 +33,7 @@ def kmeans(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5), seeds: int = 20, seed
         order = got.groupBy("k", "prediction").agg(F.min(key).alias("_least")).withColumn("cluster", F.row_number().over(Window.partitionBy("k").orderBy("_least")) - 1)
         named = got.join(F.broadcast(order), ["k", "prediction"]).select("k", key, "cluster")  # k rows
         out = named if out is None else out.unionByName(named)
+    data.unpersist()
     return out
 
 
@@ -120,6 +121,11 @@ def projection(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     return model.transform(centred).select(key, *[(pc[k] * signs[k]).alias(f"pc{k + 1}") for k in range(2)])
 
 
+def projected_centroids(df: DataFrame, cluster: str, axes: tuple[str, str] = ("pc1", "pc2")) -> DataFrame:
+    """Where a cluster's label stands in a scatter plot: the mean of its points."""
+    return df.groupBy(cluster).agg(*[F.avg(a).alias(a) for a in axes], F.count("*").alias("size"))
+
+
 def encoded(df: DataFrame, encode, text: str = "text", size: int = 16) -> DataFrame:
     """Adds embedding by encode(list of texts) -> matrix, size rows at a time."""
 

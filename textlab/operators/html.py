@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Block tags, and the tags and selectors of PageRules.
 BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -72,8 +73,8 @@ def matches(node: Node, selector: str) -> bool:
     return bool(m and node.tag) and (not m["tag"] or node.tag == m["tag"]) and (not m["id"] or node.attrs.get("id") == m["id"]) and (not m["cls"] or m["cls"] in node.attrs.get("class", "").split()) and (not m["key"] or node.attrs.get(m["key"]) == m["value"])
 
 
-def text_of(node: Node, own: bool = False) -> str:
-    """All text below; own: without that of nested blocks. A br is a line end."""
+def text_of(node: Node, own: bool = False, between: str = "") -> str:
+    """All text below, its strings joined by between; own: without that of nested blocks. A br is a line end."""
     out, stack = [], list(reversed(node.children))
     while stack:
         x = stack.pop()
@@ -83,7 +84,7 @@ def text_of(node: Node, own: bool = False) -> str:
             out.append("\n")
         elif not (own and x.tag in BLOCKS):
             stack += reversed(x.children)
-    return "".join(out)
+    return between.join(out)
 
 
 def tidy(text: str) -> str:
@@ -114,11 +115,11 @@ def blocks(html: str, rules: PageRules) -> list[str]:
             main = first
             break
     if main is None:
-        raise ValueError("no main text found")
+        raise ValueError("the page has no main part")
     found = []
     for n in main.walk():
         if n.tag in BLOCKS:
-            text = tidy("\n".join(x.strip() for x in re.split(r"\n", text_of(n)) if x.strip()) if n.tag == "h1" else text_of(n, own=True))
+            text = tidy(text_of(n, between="\n") if n.tag == "h1" else text_of(n, own=True))
             if text:
                 found.append(text)
     if not found:

@@ -13,8 +13,39 @@ CHUNK_WEIGHTED, WITHIN, BALANCED = "chunk_weighted_supplementary", "within_docum
 
 def merge_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join on a key that must be unique on both sides; a repeated one fails the query."""
-    check = lambda df: df.withColumn("_n", F.count("*").over(Window.partitionBy(key))).withColumn("_ok", F.assert_true(F.col("_n") == 1, F.lit(f"{key} is not unique"))).filter(F.col("_ok").isNull()).drop("_n", "_ok")
-    return check(left).join(check(right), key, "left")
+    return unique(left, key).join(unique(right, key), key, "left")
+
+
+def unique(df: DataFrame, key: str) -> DataFrame:
+    """df, if no key repeats; the query fails otherwise."""
+    return df.withColumn("_n", F.count("*").over(Window.partitionBy(key))).withColumn("_ok", F.assert_true(F.col("_n") == 1, F.lit(f"{key} is not unique"))).filter(F.col("_ok").isNull()).drop("_n", "_ok")
+
+
+def merge_complete(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of two tables that must have the same keys, each once; the query fails otherwise."""
+    one, two = unique(left, key).withColumn("_l", F.lit(True)), unique(right, key).withColumn("_r", F.lit(True))
+    both = one.join(two, key, "full").withColumn("_ok", F.assert_true(F.col("_l").isNotNull() & F.col("_r").isNotNull(), F.lit(f"a {key} has no partner")))
+    return both.filter(F.col("_ok").isNull()).drop("_l", "_r", "_ok")
+
+
+def with_names(df: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds the name of each key from a short table of names; a key without one fails the query."""
+    named = df.join(F.broadcast(names.select(key, name).dropDuplicates([key]).limit(10_000)), key, "left")  # a name for each cluster or label
+    return named.withColumn(name, F.coalesce(name, F.raise_error(F.concat(F.lit(f"no {name} for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("string")))
+
+
+def pair_matrix(joint: DataFrame, pairs: list[tuple[str, str]], groups: list[str]) -> DataFrame:
+    """joint_table() rows of chosen pairs: one row for each, one column of balanced shares for each group, 0 where there is none."""
+    wanted = joint.filter(F.struct("first_label", "second_label").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in pairs]))
+    return wanted.groupBy("label_pair").pivot("group", groups).agg(F.first("document_balanced_proportion")).na.fill(0)
+
+
+def indicator_bars(table: DataFrame, n: int = 35) -> DataFrame:
+    """The last n balanced indicators in the order of narrative, name and group, with their label in a chart."""
+    label = F.concat_ws(" | ", F.replace("narrative", F.lit("Narrative "), F.lit("")), "group", F.replace(F.replace("indicator", F.lit("Proportion of "), F.lit("")), F.lit(" proportion"), F.lit("")))
+    rows = table.filter(F.col("weighting_method") == BALANCED).orderBy(F.desc("narrative"), F.desc("indicator"), F.desc("group")).limit(n)
+    place = F.row_number().over(Window.orderBy("narrative", "indicator", "group"))  # of n rows
+    return rows.select(place.alias("place"), label.alias("plot_label"), "value")
 
 
 def with_phase(df: DataFrame, phases: dict[str, str], period: str = "period") -> DataFrame:
@@ -102,8 +133,11 @@ def ordered_groups(groups: DataFrame, known: list[str]) -> DataFrame:
     return groups.withColumn("display_order", F.row_number().over(Window.orderBy(rank)))
 
 
-def review_candidates(merged: DataFrame, fields: list[str], rules: list[tuple[str, str]], patterns: list[str]) -> DataFrame:
-    """Rows with a reason to look again. rules: (reason, SQL condition) on the fields; more reasons, in order: short evidence,
+REASONS = {"short": "short evidence", "lost": "evidence not found", "rare": "rare combination", "ceremonial": "ceremonial or regional"}
+
+
+def review_candidates(merged: DataFrame, fields: list[str], rules: list[tuple[str, str]], patterns: list[str], reasons: dict[str, str] = REASONS, after: list[tuple[str, str]] = ()) -> DataFrame:
+    """Rows with a reason to look again. rules and after: (reason, SQL condition) on the fields; between them, in order: short evidence,
     evidence not in the text, a combination of labels that occurs once, a pattern in the text."""
     # A combination that occurs once is found by its row's id, so no task gets all rows of a frequent one.
     once = merged.groupBy(*fields).agg(F.count("*").alias("_n"), F.min("chunk_id").alias("chunk_id")).filter("_n = 1")
@@ -114,7 +148,8 @@ def review_candidates(merged: DataFrame, fields: list[str], rules: list[tuple[st
     ceremonial = F.exists(F.array(*map(F.lit, patterns)).cast("array<string>"), lambda p: F.contains(F.col("text"), p))
     df = merged.join(once, same, "left").withColumn("_rare", F.coalesce("_rare", F.lit(False)))
     checks = [(F.expr(c), r) for r, c in rules]
-    checks += [(F.coalesce(visible_length(F.col("evidence")), F.lit(0)) < 5, "short evidence"), (~F.coalesce(evidence_found(F.col("evidence"), F.col("text")), F.lit(False)), "evidence not found"), (F.col("_rare"), "rare combination"), (ceremonial, "ceremonial or regional")]
+    checks += [(F.coalesce(visible_length(F.col("evidence")), F.lit(0)) < 5, reasons["short"]), (~F.coalesce(evidence_found(F.col("evidence"), F.col("text")), F.lit(False)), reasons["lost"]), (F.col("_rare"), reasons["rare"]), (ceremonial, reasons["ceremonial"])]
+    checks += [(F.expr(c), r) for r, c in after]
     return df.withColumn("review_reason", F.concat_ws(" | ", *[F.when(c, F.lit(r)) for c, r in checks])).filter("review_reason <> ''").drop(*once.columns)
 
 

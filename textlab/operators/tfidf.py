@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import first_of
 from ..plans.config import TfidfSpec, TokenSpec
 
+# Patterns of addresses, numbers, single letters and single characters.
 URL, NUMBER, LETTER, CJK = r"^(https?://|www\.)", r"^[0-9０-９.,%％]+$", r"^[A-Za-zＡ-Ｚａ-ｚ]$", r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]$"
 
 
@@ -29,6 +33,38 @@ def tokens(text: Column, spec: TokenSpec, keep=keep_token) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(spec.pattern), F.lit(0)), lambda t: keep(t, spec))
 
 
+def normalised_token(normalised: Column, dictionary: Column, surface: Column) -> Column:
+    """The first form of a token that isn't blank, trimmed."""
+    return F.coalesce(first_of(normalised, dictionary, surface), F.lit(""))
+
+
+def substantive_noun(pos: Column, noun: str, markers: list[str]) -> Column:
+    """Whether the first part of speech is the noun and none is among the markers (formal nouns, numerals)."""
+    return (F.get(pos, F.lit(0)) == noun) & ~F.arrays_overlap(pos, F.array(*map(F.lit, markers)).cast("array<string>"))
+
+
+def analysed(df: DataFrame, analyse: Callable[[str], list[dict]], text: str = "text") -> DataFrame:
+    """Adds morphemes, array<struct<surface, dictionary, normalised, pos>>, by any analyser of one text."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(morphemes=[analyse(t or "") for t in f[text]])
+
+    return df.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", morphemes array<struct<surface:string,dictionary:string,normalised:string,pos:array<string>>>")
+
+
+def content_words(morphemes: Column, kinds: list[str]) -> Column:
+    """Forms of the morphemes whose first part of speech is among kinds."""
+    kept = F.filter(morphemes, lambda m: F.get(m["pos"], F.lit(0)).isin(*kinds))
+    return F.filter(F.transform(kept, lambda m: normalised_token(m["normalised"], m["dictionary"], m["surface"])), lambda t: t != "")
+
+
+def display_errors(terms: DataFrame, spec: TokenSpec, key: str = "term") -> DataFrame:
+    """Terms that a chart must not show: those that the noun filter drops, or that give no token."""
+    bad = ~keep_noun(F.col(key), spec) | (F.size(tokens(F.col(key), spec, keep_noun)) == 0)
+    return terms.filter(bad).select(F.lit("not to be displayed").alias("error"), F.col(key).alias("key"))
+
+
 def protected_stopwords(stopwords: DataFrame, protected: DataFrame) -> DataFrame:
     """Protected terms among the stop words; none may be."""
     return stopwords.join(protected, "term", "left_semi")
@@ -45,7 +81,7 @@ class Tfidf:
 
 
 def fit(chunks: DataFrame, spec: TfidfSpec, token_spec: TokenSpec, document: str, groups: list[str], keep=keep_token) -> Tfidf:
-    """chunks: chunk_id, document, groups, text. The vocabulary may be empty; then so are the weights."""
+    """chunks: chunk_id, document, groups, text. The vocabulary may be empty, then so are the weights; require_vocabulary() makes that an error."""
     base = chunks.select("chunk_id", document, *groups)
     counts = chunks.select("chunk_id", document, *groups, F.explode(tokens(F.coalesce("text", F.lit("")), token_spec, keep)).alias("term")).groupBy("chunk_id", document, *groups, "term").agg(F.count("*").alias("n"))
     total = base.agg(F.count("*").alias("total"))
@@ -56,6 +92,12 @@ def fit(chunks: DataFrame, spec: TfidfSpec, token_spec: TokenSpec, document: str
     return Tfidf(base, counts, vocabulary, raw.select("chunk_id", document, *groups, "term", (F.col("u") / length).alias("weight")))
 
 
+def require_vocabulary(m: Tfidf) -> Tfidf:
+    if m.vocabulary.isEmpty():
+        raise ValueError("no term is left in the vocabulary")
+    return m
+
+
 def document_scores(m: Tfidf, document: str, groups: list[str]) -> DataFrame:
     """Mean weight over all chunks of a document, those without the term included."""
     sizes = m.chunks.groupBy(document).agg(F.count("*").alias("chunk_count"))
@@ -83,9 +125,23 @@ def contrast(scores: DataFrame, left: str, right: str) -> DataFrame:
     return out.withColumn("favored_group", F.when(F.col("difference") >= 0, left).otherwise(right))
 
 
-def presentation_terms(contrasted: DataFrame, k: int) -> DataFrame:
-    """The k strongest terms on either side, by difference."""
+def ordered_contrast(contrasted: DataFrame, n: int, reverse: bool = False) -> DataFrame:
+    """The n terms of the largest absolute difference, with their place; reversed, the difference is right - left."""
+    d = F.round(F.abs("difference"), 9)
+    top = contrasted.orderBy(d.desc(), "term").limit(n).withColumn("place", F.row_number().over(Window.orderBy(d.desc(), "term")))  # of n rows
+    return top.withColumn("difference", -F.col("difference")) if reverse else top
+
+
+def presentation_terms(contrasted: DataFrame, k: int, strict: bool = False) -> DataFrame:
+    """The k strongest terms on either side, by difference; strict: fewer of either are an error."""
     d = F.round("difference", 9)
     high = contrasted.filter("difference > 0").orderBy(d.desc(), "term").limit(k)
     low = contrasted.filter("difference < 0").orderBy(d.asc(), "term").limit(k)
+    if strict and min(high.count(), low.count()) < k:
+        raise ValueError(f"fewer than {k} terms on a side")
     return high.unionByName(low)
+
+
+def bars(top: DataFrame, group: str, n: int = 15) -> DataFrame:
+    """The n best of top_terms() of a group, the last first, as a horizontal chart stacks them."""
+    return top.filter((F.col("group") == group) & (F.col("rank") <= n)).select("term", "document_balanced_score", (F.lit(n) + 1 - F.col("rank")).alias("place"))

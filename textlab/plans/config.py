@@ -14,6 +14,7 @@ class CleaningRules:
     symbols_only: str = r"^[^\p{L}\p{N}_\s]+$"
     reference_markers: tuple[str, ...] = ()
     end_mark: str = ""
+    reference_kind: str = "statement"
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """A new name in the folder of spark.checkpoint.dir; where it is unset (tests), of this machine."""
+    """A new name in the folder of spark.checkpoint.dir; where it is unset and Spark runs in this process (tests), of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textlab-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/textlab-{uuid.uuid4().hex}"
