@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Every rule compares one measure of a text with a cutoff. For each stratum (language) and rule the
-strictest cutoff of a fixed grid is taken that is certified: among labelled good documents, the
-exact binomial probability of seeing as few rejections as were seen, if the true rate of false
-rejection were the rule's share of MAX_RISK, must not exceed the test's share of DELTA. The share
-of DELTA is Bonferroni's, over all strata, rules and cutoffs; the shares of MAX_RISK add up, so
-in each stratum all rules together reject at most MAX_RISK of the good documents, with
-probability 1 - DELTA for all strata at once. A rule without a certified cutoff rejects nothing.
+Every rule compares one measure of a text with a cutoff. The labelled good documents of a stratum
+(language) that pass the base rule are parted in two by a hash of their id. One half designs a path of
+settings, from loose to strict: at each level every rule has the strictest cutoff of a fixed grid that
+rejects no more than the level's share of that half. The other half is the holdout: level by level,
+the exact binomial probability of seeing as few rejections by any rule as were seen, if the true
+rate of false rejection were MAX_RISK, must not exceed the stratum's part of DELTA, and the first
+level that fails ends the path. Such fixed-sequence testing needs no correction over the levels;
+Bonferroni's corrects over the strata. So in each stratum all rules together reject at most MAX_RISK of the good
+documents, with probability 1 - DELTA for all strata at once. A stratum without a certified level
+rejects by the base rules only; 86 good documents in the holdout can certify one of four strata.
 
 Null text counts as empty (no words: it fails the base rule), null lang is a stratum of its own
 under the empty name. Repeated rows are measured one by one. Without labels nothing is certified
@@ -24,6 +27,8 @@ from . import common
 
 SPACE = r"[\x20\x09-\x0D]+"
 MAX_RISK, DELTA = 0.05, 0.05
+#: What each rule may reject of the designing half, level by level.
+LEVELS = (0.0, 0.0025, 0.005, 0.01)
 #: Measures that must not exceed their cutoff, with the grid of cutoffs.
 RULES: dict[str, tuple[float, ...]] = {
     "symbol_share": (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5),
@@ -93,30 +98,43 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(total)
 
 
-def cutoffs(shares: DataFrame, labels: DataFrame, rules: dict[str, tuple[float, ...]] = RULES, max_risk: float = MAX_RISK, delta: float = DELTA) -> DataFrame:
-    """lang and the strictest certified cutoff of every rule (null: none)."""
+def any_over(rules: dict[str, tuple[float, ...]], prefix: str) -> Column:
+    """Whether a measure exceeds its cutoff, in columns named by the prefix and the rule; null cutoffs reject nothing."""
+    over = F.lit(False)
+    for rule in rules:
+        over = over | F.coalesce(F.col(rule) > F.col(prefix + rule), F.lit(False))
+    return over
+
+
+def cutoffs(shares: DataFrame, labels: DataFrame, rules: dict[str, tuple[float, ...]] = RULES, max_risk: float = MAX_RISK, delta: float = DELTA, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """lang, level (from 1; null: none) and the cutoff of every rule at the strictest certified level."""
     good = labels.filter("quality = 1").select("doc_id").distinct()
-    held = shares.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    tests = [(rule, c) for rule, grid in rules.items() for c in grid]
-    counted = held.groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(F.col(rule) > c).alias(f"t{i}") for i, (rule, c) in enumerate(tests)])
-    counted = common.stored(counted)
-    share = delta / (max(1, counted.count()) * len(tests))
-    passed = lambda i: binomial_cdf(F.col(f"t{i}"), F.col("n"), max_risk / len(rules)) <= share
-    best = lambda rule: F.least(F.lit(None).cast("double"), F.lit(None).cast("double"), *[F.when(passed(i), F.lit(c)) for i, (r, c) in enumerate(tests) if r == rule])
-    return counted.select("lang", *[best(rule).alias(f"max_{rule}") for rule in rules])
+    held = common.stored(shares.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi").select("lang", F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1).isin(*"13579bdf").alias("holdout"), *rules))
+    seen = [F.count_if(F.col(rule) > c).alias(f"{rule}_{i}") for rule, grid in rules.items() for i, c in enumerate(grid)]
+    designed = held.filter("NOT holdout").groupBy("lang").agg(F.count("*").alias("n"), *seen)
+    none = F.lit(None).cast("double")
+    strictest = lambda rule, share: F.least(none, none, *[F.when(F.col(f"{rule}_{i}") <= share * F.col("n"), F.lit(c)) for i, c in enumerate(rules[rule])])
+    path = common.stored(designed.select("lang", *[strictest(rule, share).alias(f"c{j}_{rule}") for j, share in enumerate(levels) for rule in rules]))
+    if path.count() <= BROADCAST_STRATA:
+        path = F.broadcast(path)
+    rejected = [F.count_if(any_over(rules, f"c{j}_")).alias(f"k{j}") for j in range(len(levels))]
+    tested = common.stored(held.filter("holdout").join(path, "lang").groupBy("lang").agg(F.count("*").alias("n"), *rejected))
+    share = delta / max(1, tested.count())
+    failed = [binomial_cdf(F.col(f"k{j}"), F.col("n"), max_risk) > share for j in range(len(levels))]
+    last = F.coalesce(*[F.when(x, F.lit(j)) for j, x in enumerate(failed)], F.lit(len(levels)))  # levels passed before the first failure
+    level = F.nullif(last, F.lit(0))
+    chosen = lambda rule: F.get(F.array(*[F.col(f"c{j}_{rule}") for j in range(len(levels))]), F.col("level") - 1)
+    return tested.select("lang", level.alias("level")).join(path, "lang").select("lang", "level", *[chosen(rule).alias(f"max_{rule}") for rule in rules])
 
 
 def filtered(docs: DataFrame, labels: DataFrame, rules: dict[str, tuple[float, ...]] = RULES, max_risk: float = MAX_RISK, delta: float = DELTA) -> DataFrame:
     """The counts of every document, base_failed and kept."""
+    spark = docs.sparkSession
     shares = with_shares(common.stored(measured(docs)))
-    limits = common.stored(cutoffs(shares, labels, rules, max_risk, delta))
+    limits = common.settled(spark, lambda: cutoffs(shares, labels, rules, max_risk, delta))
     if limits.count() <= BROADCAST_STRATA:
         limits = F.broadcast(limits)
-    over = [F.coalesce(F.col(rule) > F.col(f"max_{rule}"), F.lit(False)) for rule in rules]
-    rejected = over[0]
-    for x in over[1:]:
-        rejected = rejected | x
-    return shares.join(limits, "lang", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return shares.join(limits, "lang", "left").withColumn("kept", ~F.col("base_failed") & ~any_over(rules, "max_"))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -127,7 +145,7 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     tests = ", ".join(f"('{rule}', {c})" for rule, grid in RULES.items() for c in grid)
-    p = MAX_RISK / len(RULES)
+    levels = ", ".join(f"({j}, {share})" for j, share in enumerate(LEVELS, 1))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
 split AS (SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
@@ -145,14 +163,18 @@ s AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_share, coalesce(word_chars / nullif(n_words, 0), 0) AS word_length,
     coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share FROM m),
 measures AS (UNPIVOT (SELECT r, lang, {", ".join(RULES)} FROM s) ON {", ".join(RULES)} INTO NAME rule VALUE x),
-held AS (SELECT r, lang FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+held AS (SELECT r, lang, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS holdout FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 tests(rule, c) AS (VALUES {tests}),
-seen AS (
-  SELECT h.lang, t.rule, t.c, count(*) AS n, count(*) FILTER (x > c) AS k
-  FROM held h JOIN measures USING (r) JOIN tests t USING (rule) GROUP BY ALL),
+levels(level, share) AS (VALUES {levels}),
+designed AS (SELECT h.lang, t.rule, t.c, count(*) AS n, count(*) FILTER (x > c) AS k FROM held h JOIN measures USING (r) JOIN tests t USING (rule) WHERE NOT holdout GROUP BY ALL),
+path AS (SELECT lang, level, rule, min(c) AS c FROM designed, levels WHERE k <= share * n GROUP BY ALL),
+hits AS (SELECT DISTINCT h.r, h.lang, p.level FROM held h JOIN measures m USING (r) JOIN path p ON p.lang = h.lang AND p.rule = m.rule AND x > c WHERE holdout),
+sizes AS (SELECT lang, count(*) AS n FROM held WHERE holdout AND lang IN (SELECT lang FROM held WHERE NOT holdout) GROUP BY lang),
+tested AS (SELECT lang, n, level, count(hits.r) AS k FROM sizes CROSS JOIN levels LEFT JOIN hits USING (lang, level) GROUP BY ALL),
 risks AS (
-  SELECT lang, rule, c, list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) AS risk FROM seen WHERE k < n * {p}),
-limits AS (SELECT lang, rule, min(c) AS c FROM risks WHERE risk <= {DELTA} / ((SELECT count(DISTINCT lang) FROM held) * {sum(map(len, RULES.values()))}) GROUP BY ALL),
+  SELECT lang, level, CASE WHEN k >= n * {MAX_RISK} THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({MAX_RISK}) + (n - i) * ln(1 - {MAX_RISK})))) END AS risk FROM tested),
+reached AS (SELECT lang, coalesce(min(level) FILTER (risk > {DELTA} / (SELECT count(*) FROM sizes)), {len(LEVELS) + 1}) - 1 AS level FROM risks GROUP BY lang),
+limits AS (SELECT lang, rule, c FROM path JOIN reached USING (lang, level)),
 over AS (SELECT DISTINCT r FROM measures JOIN limits USING (lang, rule) WHERE x > c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM over) AS kept FROM s
 """
