@@ -1,7 +1,8 @@
 """Document fingerprints from improbable features.
 
 Every byte window of a text carries self-information under the byte pairs of the whole corpus; the
-windows that carry more than any other within RADIUS bytes are the text's features. Their
+windows that carry more than any other within a radius are the text's features. Windows are
+long; texts of under SHORT bytes have features from short windows as well, as few long ones outlast an edit there. Their
 hashes go into a chain of Bloom filters, FEATURES to each. Two chains are compared filter by
 filter: shared bits, less those that chance gives, over the most that could be shared.
 
@@ -27,6 +28,8 @@ from . import common
 from .rolling import mixed, windows_at
 
 WIDTH, RADIUS = 64, 16
+#: Bytes below which a text has features from windows of another width and radius too.
+SHORT, SHORT_WIDTH, SHORT_RADIUS = 1_024, 16, 4
 #: Bytes of a filter, its features, and the bits that each sets.
 FILTER, FEATURES, HASHES = 256, 128, 5
 
@@ -59,18 +62,27 @@ def reach_max(x: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(x[: len(x) - (n - width)], x[n - width :])
 
 
+def selected(b: np.ndarray, info: np.ndarray, width: int, radius: int) -> np.ndarray:
+    """Hashes of the windows that carry more than any other within the radius; of the whole text if it is no longer than a window."""
+    if len(b) <= width:
+        return mixed(windows_at(b, np.zeros(1, np.int64), len(b)))
+    rank = info[width - 1 :] - info[: len(info) - width + 1]  # of the window that starts at each place
+    low = np.full(radius, -1)
+    around = reach_max(np.concatenate([low, rank, low]), radius)  # of radius ranks, the first of them radius before
+    n = len(rank)
+    at = np.flatnonzero((rank > around[:n]) & (rank >= around[radius + 1 : radius + 1 + n]))
+    return mixed(windows_at(b, at, width))
+
+
 def features(data: bytes, bits: np.ndarray) -> np.ndarray:
     """Hashes of the selected windows, in order, each once."""
     b = np.frombuffer(data, np.uint8)
-    if len(b) <= WIDTH:
-        return mixed(windows_at(b, np.zeros(1, np.int64), len(b))) if len(b) else np.zeros(0, np.uint64)
+    if not len(b):
+        return np.zeros(0, np.uint64)
     info = np.concatenate([[0], np.cumsum(bits[b[:-1].astype(np.int32) * 256 + b[1:]])])
-    rank = info[WIDTH - 1 :] - info[: len(info) - WIDTH + 1]  # of the window that starts at each place
-    low = np.full(RADIUS, -1)
-    around = reach_max(np.concatenate([low, rank, low]), RADIUS)  # of RADIUS ranks, the first of them RADIUS before
-    n = len(rank)
-    at = np.flatnonzero((rank > around[:n]) & (rank >= around[RADIUS + 1 : RADIUS + 1 + n]))
-    h = mixed(windows_at(b, at, WIDTH))
+    h = selected(b, info, WIDTH, RADIUS)
+    if len(b) < SHORT:
+        h = np.concatenate([h, selected(b, info, SHORT_WIDTH, SHORT_RADIUS)])
     return h[np.sort(np.unique(h, return_index=True)[1])]
 
 
@@ -93,12 +105,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         return float(len(a) == len(b))
     if len(a) > len(b):
         a, b = b, a
-    shared = np.bitwise_count(a[:, None, :] & b[None, :, :]).sum(axis=2, dtype=np.int64).astype(float)
     one, two = (np.bitwise_count(x).sum(axis=1, dtype=np.int64).astype(float) for x in (a, b))
-    chance = one[:, None] * two[None, :] / (FILTER * 8)
-    most = np.minimum(one[:, None], two[None, :])
-    score = np.clip((shared - chance) / np.maximum(most - chance, 1e-9), 0, 1)
-    return float(np.average(score.max(axis=1), weights=one))
+    best = np.empty(len(a))
+    for k, x in enumerate(a):  # a filter against all of the other chain, so memory grows with one chain only
+        shared = np.bitwise_count(x & b).sum(axis=1, dtype=np.int64)
+        chance, most = one[k] * two / (FILTER * 8), np.minimum(one[k], two)
+        best[k] = np.clip((shared - chance) / np.maximum(most - chance, 1e-9), 0, 1).max()
+    return float(np.average(best, weights=one))
 
 
 def edited(text: str, following: str) -> str:
