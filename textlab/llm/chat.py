@@ -4,13 +4,14 @@ The longest common prefix of turns (same role and text) is rendered once as the
 follows on either side is the completion. The mask of a completion lists the spans (code points,
 end exclusive) that a loss counts: text and end mark of assistant turns.
 
-Null roles and texts count as empty. Equal conversations have empty completions and masks; an
+All turns of a conversation meet in one row, so a conversation must fit a task's memory; rows without a
+conv_id belong to none and are left out. Null roles and texts count as empty. Equal conversations have empty completions and masks; an
 empty conversation gives an empty prompt. Repeated pairs give repeated rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -75,9 +76,42 @@ def with_swapped_answer(turns: DataFrame) -> DataFrame:
     return each.select(F.col("p.a.conv_id").alias("conv_id"), F.col("p.a.chosen").alias("chosen"), swapped.alias("rejected"))
 
 
+def conversations(turns: DataFrame) -> DataFrame:
+    """conv_id and its turns as an array, ordered by turn, then role and text."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    convs = turns.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    return convs.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("chosen"))
+
+
+def with_next_answer(turns: DataFrame) -> DataFrame:
+    """Pairs (conv_id, chosen, rejected) of all conversations.
+
+    The rejected one has an answer of the conversation replaced by the last one of the next
+    conversation in the order of ids that has any (after the last: the first): its last answer, so that the sides part
+    late, or, where the id is odd, its first, so that equal turns can follow. Without an
+    assistant turn both sides are equal. Conversations are numbered range by range.
+    """
+    spark = turns.sparkSession
+    answers = F.filter(F.transform("chosen", lambda t, i: F.struct(i.alias("i"), t["role"].alias("role"), t["text"].alias("text"))), lambda t: t["role"] == LEARNED)
+    convs = conversations(turns).withColumn("answers", answers)
+    swapped_at = F.when(F.col("conv_id") % 2 == 0, F.get(F.col("answers"), F.size("answers") - 1)["i"]).otherwise(F.get(F.col("answers"), F.lit(0))["i"])
+    own = convs.select("conv_id", "chosen", swapped_at.alias("at"), F.get(F.col("answers"), F.size("answers") - 1)["text"].alias("answer"))
+    ranged = own.filter("answer IS NOT NULL").select("conv_id", "answer").repartitionByRange(common.partitions(spark), "conv_id").withColumn("part", F.spark_partition_id())
+    ranged = common.stored(ranged)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
+    offset = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    numbered = ranged.join(F.broadcast(offset), "part").select("conv_id", "answer", (F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy("conv_id"))).alias("n"))
+    total = ranged.count()
+    givers = numbered.select(F.col("answer").alias("other"), "n")
+    given = numbered.select("conv_id", (F.col("n") % max(1, total) + 1).alias("n")).join(givers, "n").select("conv_id", "other")
+    rejected = F.transform("chosen", lambda t, i: F.when(i == F.col("at"), F.struct(t["role"].alias("role"), F.col("other").alias("text"))).otherwise(t))
+    return own.join(given, "conv_id", "left").select("conv_id", "chosen", F.when(F.col("other").isNull(), F.col("chosen")).otherwise(rejected).alias("rejected"))
+
+
 def op7_preference_format(spark, sf_dir: str) -> DataFrame:
-    """Query: all conversations against themselves with the neighbour's last answer."""
-    out = preference(with_swapped_answer(common.table(spark, sf_dir, "conversations")))
+    """Query: all conversations against themselves with an answer of the next one."""
+    out = preference(with_next_answer(common.table(spark, sf_dir, "conversations")))
     return out.select("conv_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
 
 
@@ -86,13 +120,12 @@ WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS i
   FROM conversations WHERE conv_id IS NOT NULL),
-last AS (SELECT conv_id, max(i) AS i FROM t WHERE role = 'assistant' GROUP BY conv_id),
-answer AS (SELECT l.conv_id, l.i, t.text FROM last l JOIN t ON t.conv_id = l.conv_id AND t.i = l.i),
-pairs AS (SELECT a.conv_id, a.i, b.text AS other FROM answer a JOIN answer b ON b.conv_id = xor(a.conv_id, 1)),
+ends AS (SELECT conv_id, max(i) AS i, CASE WHEN conv_id % 2 = 0 THEN max(i) ELSE min(i) END AS swap FROM t WHERE role = 'assistant' GROUP BY conv_id),
+answer AS (SELECT e.conv_id, e.swap, t.text FROM ends e JOIN t ON t.conv_id = e.conv_id AND t.i = e.i),
+pairs AS (SELECT conv_id, swap, coalesce(lead(text) OVER (ORDER BY conv_id), first_value(text) OVER (ORDER BY conv_id)) AS other FROM answer),
 turns AS (
-  SELECT t.conv_id, t.i, t.role, t.text, CASE WHEN t.i = p.i THEN p.other ELSE t.text END AS changed,
-         p.i AS swap, p.other
-  FROM t JOIN pairs p USING (conv_id)),
+  SELECT t.conv_id, t.i, t.role, t.text, CASE WHEN t.i = p.swap THEN p.other ELSE t.text END AS changed
+  FROM t LEFT JOIN pairs p USING (conv_id)),
 cut AS (SELECT conv_id, coalesce(min(CASE WHEN text <> changed THEN i END) - 1, max(i)) AS n FROM turns GROUP BY conv_id),
 sized AS (
   SELECT turns.*, cut.n,
