@@ -275,12 +275,38 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(docs, CHUNKS, ["doc_id"])
 
 
-@query()
+_TRIM = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+CHUNKED_SQL = rf"""WITH RECURSIVE lists AS (SELECT doc_id, source AS title, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS l FROM documents),
+p AS (SELECT doc_id, title, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM lists),
+heads AS (SELECT *, length(p) <= 100 AND NOT regexp_matches(p, '[.!?。！？]') AS head FROM p),
+sections AS (SELECT *, coalesce(last_value(CASE WHEN head THEN p END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), title) AS section FROM heads),
+split AS (SELECT doc_id, i, regexp_extract_all(p, '(?s).+?[.!?。！？]|.+$') AS l FROM sections WHERE NOT head AND length(p) > 500),
+sentences AS (SELECT doc_id, i, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM split WHERE len(l) > 1),
+run(doc_id, i, k, r, size) AS (
+  SELECT doc_id, i, k, 1, length(s) FROM sentences WHERE k = 1
+  UNION ALL SELECT s.doc_id, s.i, s.k, CASE WHEN size + length(s) <= 500 THEN r ELSE r + 1 END, CASE WHEN size + length(s) <= 500 THEN size + length(s) ELSE length(s) END
+  FROM run JOIN sentences s ON s.doc_id = run.doc_id AND s.i = run.i AND s.k = run.k + 1),
+runs AS (SELECT doc_id, i, r, string_agg(s, '' ORDER BY k) AS t, max(r) OVER w AS n, lag(length(string_agg(s, '' ORDER BY k))) OVER (PARTITION BY doc_id, i ORDER BY r) AS before FROM run JOIN sentences USING (doc_id, i, k) GROUP BY doc_id, i, r WINDOW w AS (PARTITION BY doc_id, i)),
+placed AS (SELECT doc_id, i, CASE WHEN r = n AND n > 1 AND length(t) < 100 AND before + length(t) <= 500 THEN r - 1 ELSE r END AS place, r, t FROM runs),
+long AS (SELECT doc_id, i, place, {_TRIM.format("string_agg(t, '' ORDER BY r)")} AS t FROM placed GROUP BY doc_id, i, place),
+parts AS (
+  SELECT doc_id, section, i, 0 AS place, p AS t FROM sections WHERE NOT head AND (doc_id, i) NOT IN (SELECT doc_id, i FROM long)
+  UNION ALL SELECT doc_id, section, i, place, t FROM long JOIN sections USING (doc_id, i)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, place) AS j FROM parts),
+pack(doc_id, j, n, section, text) AS (
+  SELECT doc_id, j, 1, section, t FROM numbered WHERE j = 1
+  UNION ALL SELECT x.doc_id, x.j, CASE WHEN fits THEN n ELSE n + 1 END, x.section, CASE WHEN fits THEN text || chr(10) || t ELSE t END
+  FROM (SELECT x.*, n, text, x.section = pack.section AND length(text) < 150 AND length(text) + 1 + length(t) <= 500 AS fits FROM pack JOIN numbered x ON x.doc_id = pack.doc_id AND x.j = pack.j + 1) x),
+made AS (SELECT doc_id, CAST(n AS INT) AS n, doc_id || '_C' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') AS chunk_id, max_by(section, j) AS section_title, CAST(length(max_by(text, j)) AS INT) AS char_count, max_by(text, j) AS text FROM pack GROUP BY doc_id, n)"""
+
+
+@query(f"{CHUNKED_SQL} SELECT * FROM made")
 def chunks(spark, sf_dir):
     return chunked(spark, sf_dir)
 
 
-@query()
+@query(f"""{CHUNKED_SQL} SELECT doc_id, count(*) AS chunk_count, min(char_count) AS min_chars, median(char_count) AS median_chars, max(char_count) AS max_chars,
+count(*) FILTER (char_count < 100) AS short_chunks, count(*) FILTER (char_count > 500) AS long_chunks FROM made GROUP BY doc_id""")
 def chunk_summary(spark, sf_dir):
     return chunking.chunk_summary(chunked(spark, sf_dir), "doc_id", CHUNKS)
 
