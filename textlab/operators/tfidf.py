@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_of
+from ..sources import writers
 from ..plans.config import TfidfSpec, TokenSpec
 
 # Patterns of addresses, numbers, single letters and single characters.
@@ -84,10 +85,14 @@ def fit(chunks: DataFrame, spec: TfidfSpec, token_spec: TokenSpec, document: str
     """chunks: chunk_id, document, groups, text. The vocabulary may be empty, then so are the weights; require_vocabulary() makes that an error."""
     base = chunks.select("chunk_id", document, *groups)
     counts = chunks.select("chunk_id", document, *groups, F.explode(tokens(F.coalesce("text", F.lit("")), token_spec, keep)).alias("term")).groupBy("chunk_id", document, *groups, "term").agg(F.count("*").alias("n"))
+    counts = writers.stored(counts)  # tokens are taken from the texts once
     total = base.agg(F.count("*").alias("total"))
     df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # one row
     vocabulary = df.filter((F.col("df") >= spec.min_df) & (F.col("df") <= spec.max_df * F.col("total"))).withColumn("idf", F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1)
-    raw = counts.join(vocabulary.select("term", "idf"), "term").withColumn("u", (1 + F.log("n")) * F.col("idf"))
+    weighted = vocabulary.select("term", "idf")
+    if spec.broadcast_terms and weighted.count() <= spec.broadcast_terms:
+        weighted = F.broadcast(weighted)
+    raw = counts.join(weighted, "term").withColumn("u", (1 + F.log("n")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("u") * F.col("u")).over(Window.partitionBy("chunk_id")))
     return Tfidf(base, counts, vocabulary, raw.select("chunk_id", document, *groups, "term", (F.col("u") / length).alias("weight")))
 

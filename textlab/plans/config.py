@@ -42,6 +42,8 @@ class TfidfSpec:
     min_df: int = 2
     max_df: float = 0.85
     top: int = 30
+    #: Terms up to which the vocabulary is broadcast; a larger one is joined by a shuffle, where AQE splits frequent terms.
+    broadcast_terms: int = 500_000
 
 
 @dataclass(frozen=True)

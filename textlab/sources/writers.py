@@ -33,3 +33,10 @@ def texts(df: DataFrame, path: str, key: str, text: str = "text") -> None:
     if path.rstrip("/") in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         raise ValueError("the target is the source")
     df.select(key, text).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: what is read twice is computed once."""
+    path = shared(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
