@@ -1,7 +1,9 @@
+import math
+
 import duckdb
 import pytest
 
-from textlab.operators import batches, html, labels, tfidf, validate
+from textlab.operators import batches, clusters, html, labels, tfidf, validate
 from textlab.plans import catalog, extra, policy
 from textlab.plans.config import TfidfSpec, TokenSpec
 from textlab.sources import readers, writers
@@ -105,3 +107,25 @@ def test_files(spark, tmp_path):
     assert readers.chunk_table(spark, str(tmp_path / "chunks")).collect() == chunk.collect()
     (tmp_path / "raw.json").write_text('[{"chunk_id": "c", "quality": "1"}]')
     assert readers.raw_labels(spark, str(tmp_path / "raw.json")).first()["quality"] == "1"
+
+
+def test_zero_vectors_and_kmeans(spark):
+    zero = spark.createDataFrame([(1, [0.0, 0.0])], "vec_id int, embedding array<double>")
+    with pytest.raises(Exception, match="zero vector"):
+        clusters.normalised(zero).collect()
+    rows = [(k, [math.cos(a), math.sin(a)]) for k in range(30) for a in [2 * math.pi * (k % 3) / 3 + 0.01 * k / 30]]
+    found = clusters.kmeans(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), (3,), seeds=3)
+    got = {r["vec_id"]: r["cluster_k3"] for r in clusters.assignments(found, (3,)).collect()}
+    assert got == {k: k % 3 for k in range(30)}
+
+
+def test_projection_turns_only(spark):
+    rows = [(k, [3.0 * (k - 5), 0.5 * (-1) ** k, 1.0]) for k in range(11)]
+    got = {r["vec_id"]: (r["pc1"], r["pc2"]) for r in clusters.projection(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), "vec_id").collect()}
+    assert all(abs(got[k][0] - 3.0 * (k - 5)) < 0.05 and abs(abs(got[k][1]) - 0.5) < 0.1 for k in range(11))
+
+
+def test_encoder_runs_by_batches(spark):
+    df = spark.createDataFrame([(k, "x" * k) for k in range(5)], "k int, text string")
+    got = {r["k"]: r["embedding"] for r in clusters.encoded(df, lambda texts: [[len(t), 1] for t in texts], size=2).collect()}
+    assert got == {k: [float(k), 1.0] for k in range(5)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import to_int, trimmed, wrapped
 from ..operators import batches, chunking, cleaning, clusters, labels, tfidf, validate
+from ..streaming import stateless
 from . import catalog, policy
 from .catalog import CHUNK_SQL, CONTRAST_SQL, VECTOR_SQL, query, read, rounded, vectors
 
@@ -247,3 +248,11 @@ def clean_reference_sections(spark, sf_dir):
     text = F.concat(F.lit("Intro "), "lang", F.lit("\n\n\n"), para, para, F.when(F.col("doc_id") % 2 == 0, "End\nReferences\ntail").otherwise(""))
     docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.when(F.col("lang") == "en", "statement").otherwise("speech").alias("kind"))
     return cleaning.clean(docs, catalog.CLEANING, unify=False, kind="kind").select("doc_id", "reference_marker", "paragraph_count", "cleaned")
+
+
+@query(catalog.ORACLES["clean_documents"])
+def streamed_cleaning(spark, sf_dir):
+    """The stream of the documents table, cleaned and run to its end."""
+    schema = read(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*").select("doc_id", "text")
+    return stateless.appended(stateless.clean_stream(stream, catalog.CLEANING, unify=False)).drop("text")

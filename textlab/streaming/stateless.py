@@ -10,9 +10,17 @@ from ..plans.config import CleaningRules
 from ..sources import writers
 
 
-def clean_stream(stream: DataFrame, rules: CleaningRules) -> DataFrame:
+def clean_stream(stream: DataFrame, rules: CleaningRules, unify: bool = True) -> DataFrame:
     """Cleaning needs no state, so the batch operator runs on a stream as it is."""
-    return clean(stream, rules)
+    return clean(stream, rules, unify=unify)
+
+
+def appended(stream: DataFrame) -> DataFrame:
+    """All rows of a stateless stream, run to its end; what was written stays if the run is resumed."""
+    path = writers.shared(stream.sparkSession)
+    run = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/result")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/result")
 
 
 def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
