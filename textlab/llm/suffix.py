@@ -41,7 +41,7 @@ from .rolling import as_words, between, mixed, prefix, word_spans
 #: Bytes of a string, and least symbols of a gram.
 LENGTH, GRAM = 400, 64
 #: Segments of a bucket that one task sorts at once, and neighbouring strings that are matched together between parts.
-BUCKET, RUN = 2_048, 16
+BUCKET, RUN = 1_024, 16
 #: Symbols of a text that are hashed at once, hashes that a task sorts before it sends them, and tasks' shares of hashes for each shuffle partition.
 BLOCK, HELD, SHARES = 1 << 19, 1 << 20, 4
 #: Symbols of segments that a task holds at once.
