@@ -301,10 +301,10 @@ def sized(n: str, m: str, least: Threshold) -> Column:
 
 
 def grouped(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, root) of every row: root names its component, null without shingles; text_hash is xxhash64 of the text."""
+    """(doc_id, text_hash, n_shingles, root) of every row: root names its component, null without shingles; text_hash is xxhash64 of the text (null: empty)."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    docs = common.texts(docs, F.xxhash64("text").alias("text_hash"))
+    docs = common.texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     rows, sketch = measured(docs, width)
 
     def roots() -> DataFrame:
