@@ -157,7 +157,7 @@ def candidates(docs: DataFrame, sketch: np.ndarray, width: int, least: Threshold
                 yield pd.DataFrame({"element": np.concatenate(list(short.values())).astype(np.int64), "class": np.repeat(list(short), [len(x) for x in short.values()])})
 
     shared = docs.mapInPandas(lists, "element long, class long").groupBy("element").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-    bits = Bits(shared, "element", 28)
+    bits = Bits(common.stored(shared.select("element")), "element", 28)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[int] = set()
