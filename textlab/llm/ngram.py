@@ -258,9 +258,11 @@ def searched(left: DataFrame, least: Threshold) -> DataFrame:
     """Pairs (a, b) of classes of different components that occur in enough of each other's merged lists. left: element, blocks, class, parts, n, least, root, place."""
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block")
     entry = F.struct("class", "n", "least", "root", "place")
-    lists = left.select("element", block, entry.alias("x")).groupBy("element", "block").agg(F.sort_array(F.collect_list("x")).alias("list"))
-    each = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = each.join(lists, ["element", "block"])
+    lists = left.select("element", "blocks", block, entry.alias("x")).groupBy("element", "blocks", "block").agg(F.sort_array(F.collect_list("x")).alias("list"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    lists = lists.select("element", "block", every.alias("own"), "list")
+    each = left.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("block", every)
+    met = each.join(lists, ["element", "block", "own"])  # a block of a list meets one block of the classes that search it
 
     def fits(y: Column) -> Column:
         need = F.ceil(least.num * (F.col("n") + y["n"]) / F.lit(least.num + least.den))
