@@ -2,7 +2,7 @@
 
 import random
 
-from textlab.llm import suffix
+from textlab.llm import common, pii, suffix
 
 
 def noise(rng, n):
@@ -37,3 +37,24 @@ def test_parts_find_what_repeats_and_no_more(spark):
         got[at[r["row"]]].update(range(r["a"], r["b"]))
     assert got == brute(rows, 100)
     assert len(found) < 2_000  # 5,798 when each part sent on what it had found itself
+
+
+def test_only_copies_are_stored_for_distinct_texts(spark, monkeypatch):
+    rows = [f"text {k}" for k in range(300)] + ["twice"] * 2 + ["often"] * 40 + ["", None]
+    kept = []
+    monkeypatch.setattr(common, "stored", lambda df, f=common.stored: kept.append(f(df)) or kept[-1])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sorted(r["text"] for r in pii.distinct_texts(docs).collect())
+    assert got == sorted({t or "" for t in rows})
+    stored = [r["text"] for x in kept if "text" in x.columns for r in x.collect()]
+    assert {"twice", "often", ""} <= set(stored) and len(stored) < 100
+
+
+def test_disclosive_stores_no_table_of_all_texts(spark, monkeypatch):
+    rows = [f"text {k} inbox u{k}@mail.org here" for k in range(200)]
+    kept = []
+    monkeypatch.setattr(common, "stored", lambda df, f=common.stored: kept.append(f(df)) or kept[-1])
+    sizes = lambda: sum(x.count() for x in kept if "text" in x.columns)
+    monkeypatch.setattr(common, "drop_stored", lambda *_: None)
+    pii.disclosive(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sizes() < 100

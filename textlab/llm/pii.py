@@ -25,6 +25,7 @@ from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -198,6 +199,22 @@ def keys(terms: Collection[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(text): every text once. Only texts whose hash comes more than once are shuffled and stored; docs is read again for the others."""
+    hashed = common.texts(docs).select("text", F.xxhash64("text").alias("hash"))
+    bits = common.Bits(common.stored(hashed.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")), "hash", 28)
+
+    def split(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = bits.has(b.column("hash").to_numpy(zero_copy_only=False)) == hit
+                yield b.select(["text"]).filter(pa.array(own))
+
+        return hashed.mapInArrow(run, "text string")
+
+    return split(False).unionByName(common.stored(split(True).distinct()))
+
+
 def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT, broadcast_terms: int = BROADCAST_PAIRS) -> DataFrame:
     """(entity, term, share, general): pairs whose PMI is share of the entity's information, disclosed at least, and the longest beginning of the term whose share is less (null: none)."""
     common.small_batches(docs.sparkSession)
@@ -205,7 +222,7 @@ def disclosive(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUP
 
 
 def _disclosive(docs: DataFrame, disclosed: float, support: int, broadcast_terms: int) -> DataFrame:
-    docs = common.stored(common.texts(docs).select("text").distinct()).withColumn("at", F.monotonically_increasing_id())
+    docs = distinct_texts(docs).withColumn("at", F.monotonically_increasing_id())
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
