@@ -39,6 +39,37 @@ def test_parts_find_what_repeats_and_no_more(spark):
     assert len(found) < 2_000  # 5,798 when each part sent on what it had found itself
 
 
+def near_copies(rng, n, size=200):
+    base = noise(rng, size)
+    out = []
+    for _ in range(n):
+        at = rng.randrange(size)
+        out.append(noise(rng, 60) + base[:at] + rng.choice("xyz") + base[at + 1 :] + noise(rng, 60))
+    return out
+
+
+def test_parts_send_a_string_once_for_each_place(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(common, "stored", lambda df, f=common.stored: kept.append(f(df)) or kept[-1])
+
+    def sent(n):
+        kept.clear()
+        rows = near_copies(random.Random(22), n)
+        got = [set() for _ in rows]
+        at = {suffix.row_key(k, t.encode()): k for k, t in enumerate(rows)}
+        for r in suffix.covers(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 100, 32, 8).collect():
+            got[at[r["row"]]].update(range(r["a"], r["b"]))
+        assert got == brute(rows, 100)
+        strings = next(x for x in kept if "string" in x.columns)
+        return strings.count(), strings.select("row", "a").distinct().count()
+
+    few, places = sent(24)
+    assert few == places  # once for each sample in the string before
+    assert sent(48)[0] < 3 * few  # not with the square of the group
+    monkeypatch.setattr(suffix, "STRETCH", 4)
+    assert sent(24)[1] == places
+
+
 def test_only_copies_are_stored_for_distinct_texts(spark, monkeypatch):
     rows = [f"text {k}" for k in range(300)] + ["twice"] * 2 + ["often"] * 40 + ["", None]
     kept = []
