@@ -62,9 +62,10 @@ def without_repeats(parts: Column) -> Column:
     return F.filter(parts, lambda p, i: (i == 0) | (p != F.coalesce(F.get(parts, i - 1), F.lit(""))))
 
 
-def clean(df: DataFrame, rules: CleaningRules, text: str = "text", unify: bool = True, kind: str | None = None) -> DataFrame:
+def clean(df: DataFrame, rules: CleaningRules, text: str = "text", unify: bool = True, kind: str | None = None, empty_lines: int = 0) -> DataFrame:
     """Adds cleaned, removed_lines, removed_chars and paragraph_count.
 
+    empty_lines: lines that an empty text counts as; none for a reader of lines, one where lines are what line feeds part.
     With kind, a column, references are cut in rows of the kind rules.reference_kind only, and reference_marker names what they were cut at.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
@@ -80,7 +81,8 @@ def clean(df: DataFrame, rules: CleaningRules, text: str = "text", unify: bool =
     df = df.withColumn("_paragraphs", without_repeats(F.col("_paragraphs")))
     body = F.array_join("_paragraphs", "\n\n")
     df = df.withColumn("cleaned", F.when(body == "", "").otherwise(F.concat(body, F.lit("\n"))))
-    return df.withColumns({"removed_lines": F.greatest(F.size("_lines") - F.size(lines(F.col("cleaned"))), F.lit(0)), "removed_chars": F.greatest(F.length(raw) - F.length("cleaned"), F.lit(0)), "paragraph_count": F.size("_paragraphs")}).drop("_lines", "_kept", "_paragraphs")
+    before = F.when(F.col(text) == "", empty_lines).otherwise(F.size("_lines"))
+    return df.withColumns({"removed_lines": F.greatest(before - F.size(lines(F.col("cleaned"))), F.lit(0)), "removed_chars": F.greatest(F.length(raw) - F.length("cleaned"), F.lit(0)), "paragraph_count": F.size("_paragraphs")}).drop("_lines", "_kept", "_paragraphs")
 
 
 def kind_of(name: Column, kinds: dict[str, str], default: str) -> Column:
