@@ -42,6 +42,10 @@ def test_cleaning_counts_an_empty_text_as_its_sql_does(spark, odd):
     assert equals_sql(spark, odd, "clean_documents")
 
 
+def test_cleaning_of_a_stream_with_empty_texts(spark, odd):
+    assert equals_sql(spark, odd, "streamed_cleaning")
+
+
 def test_all_checks_of_a_chunk_table(spark):
     rows = spark.createDataFrame([(1, "d", "en", "", 0), (1, "d", "de", "der", 3), (2, "e", None, "license", 9)], "chunk_id int, doc string, type string, text string, char_count int")
     docs = spark.createDataFrame([("d",), ("e",), ("f",)], "doc string")

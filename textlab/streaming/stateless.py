@@ -10,9 +10,9 @@ from ..plans.config import CleaningRules
 from ..sources import writers
 
 
-def clean_stream(stream: DataFrame, rules: CleaningRules, unify: bool = True) -> DataFrame:
+def clean_stream(stream: DataFrame, rules: CleaningRules, unify: bool = True, empty_lines: int = 0) -> DataFrame:
     """Cleaning needs no state, so the batch operator runs on a stream as it is."""
-    return clean(stream, rules, unify=unify)
+    return clean(stream, rules, unify=unify, empty_lines=empty_lines)
 
 
 def appended(stream: DataFrame) -> DataFrame:
