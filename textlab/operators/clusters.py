@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_divide
 from ..functions.vectors import distance, norm, unit
+from ..sources import writers
 
 
 def normalised(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -71,29 +73,84 @@ def crosstab(df: DataFrame, cluster: str, dimension: str, values: list) -> DataF
     return df.groupBy(cluster).pivot(dimension, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def silhouette(df: DataFrame, cluster: str, key: str, vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """Mean Euclidean silhouette over all points, exact and so quadratic: blocks of points meet block by block in numpy.
+def blocks(points: DataFrame, size: int) -> DataFrame:
+    """id, c, v as rows of at most size points, sorted by c within: block, ids, labels and vectors in bytes. Stored, as they are read many times."""
+
+    def row(t: pa.Table) -> pa.RecordBatch:
+        t = t.sort_by("c")
+        raw = [t.column(c).combine_chunks() for c in ("id", "c", "v")]
+        raw[2] = raw[2].flatten()
+        return pa.RecordBatch.from_arrays([pa.array([x.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for x in raw], ["ids", "labels", "vectors"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            while rows >= size:
+                t = pa.Table.from_batches(held)
+                yield row(t.slice(0, size))
+                held, rows = t.slice(size).to_batches(), rows - size
+        if rows:
+            yield row(pa.Table.from_batches(held))
+
+    return writers.stored(points.mapInArrow(run, "ids binary, labels binary, vectors binary").withColumn("block", F.monotonically_increasing_id()))
+
+
+def distance_sums(points: DataFrame, block: int, resident: int, parts: int) -> DataFrame:
+    """id, c, other, total: sums of the distances from a point to those of each label, in one row or a few.
+
+    A task holds a share of the blocks, at most `resident` bytes, and meets them with its own blocks one by one;
+    they are read from where they are stored, so nothing is shuffled by pairs.
+    """
+    made = blocks(points, block)
+    n, size = made.agg(F.count("*"), F.coalesce(F.sum(F.length("vectors")), F.lit(0))).first()
+    left = made.repartition(max(1, min(n, parts)))
+    right = made.select(*[F.col(c).alias(f"o_{c}") for c in ("ids", "labels", "vectors")]).coalesce(max(1, -(-size // resident)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, ids, labels, a, total = None, None, None, None, {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for other, sums in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(labels), pa.array(np.full(len(ids), other)), pa.array(sums)], ["id", "c", "other", "total"])
+            total.clear()
+
+        for b in batches:
+            for k in range(b.num_rows):
+                at = lambda c: b.column(c)[k].as_buffer()  # noqa: B023, E731
+                if (number := b.column("block")[k].as_py()) != mine:
+                    yield from flushed()
+                    mine, ids, labels = number, np.frombuffer(at("ids"), np.int64).copy(), np.frombuffer(at("labels"), np.int64).copy()
+                    a = np.frombuffer(at("vectors")).reshape(len(ids), -1)
+                    a = np.hstack([-2 * a, (a * a).sum(1)[:, None], np.ones((len(a), 1))])
+                others, own = np.frombuffer(at("o_ids"), np.int64), np.frombuffer(at("o_labels"), np.int64)
+                v = np.frombuffer(at("o_vectors")).reshape(len(others), -1)
+                d = a @ np.hstack([v, np.ones((len(v), 1)), (v * v).sum(1)[:, None]]).T
+                np.sqrt(np.maximum(d, 0, out=d), out=d)
+                if (same := np.flatnonzero(np.isin(ids, others))).size:
+                    d[same] = np.where(ids[same][:, None] == others[None, :], 0, d[same])
+                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                for other, sums in zip(own[starts].tolist(), np.add.reduceat(d, starts, axis=1).T, strict=True):
+                    total[other] = total[other] + sums if other in total else sums.copy()
+                if len(total) * len(ids) > 1 << 22:  # so many labels leave in several rows
+                    yield from flushed()
+        yield from flushed()
+
+    pairs = left.crossJoin(right.hint("shuffle_replicate_nl"))
+    return pairs.mapInArrow(run, "id long, c long, other long, total double")
+
+
+def silhouette(df: DataFrame, cluster: str, key: str, vector: str = "embedding", block: int = 4096, resident: int = 64 << 20) -> DataFrame:
+    """Mean Euclidean silhouette over all points, exact and so quadratic in time: blocks of points meet block by block in numpy. Shuffled are the points, once, and their sums by cluster.
 
     At scale use ClusteringEvaluator, whose squared variant needs the centroids only.
     """
     v = F.transform(vector, lambda x: x.cast("double"))
-    n_blocks = max(1, -(-df.count() // block))
-    points = df.select(F.col(key).alias("id"), F.col(cluster).cast("long").alias("c"), v.alias("v"), F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("b"))
-    left = points.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    schema = "id long, c long, other long, total double"
-
-    def sums(_, mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or others.empty:
-            return pd.DataFrame({"id": [], "c": [], "other": [], "total": []}).astype({"id": "int64", "c": "int64", "other": "int64", "total": "float64"})
-        a, b = np.stack(mine["v"].to_list()), np.stack(others["v"].to_list())
-        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
-        d[mine["id"].to_numpy()[:, None] == others["id"].to_numpy()[None, :]] = 0
-        labels, at = np.unique(others["c"].to_numpy(), return_inverse=True)
-        total = d @ np.eye(len(labels))[at]
-        return pd.DataFrame({"id": np.repeat(mine["id"].to_numpy(), len(labels)), "c": np.repeat(mine["c"].to_numpy(), len(labels)), "other": np.tile(labels, len(mine)), "total": total.ravel()})
-
-    right = points.withColumn("o", F.col("b")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    total = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(sums, schema).groupBy("id", "c", "other").agg(F.sum("total").alias("total"))
+    points = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(cluster).cast("long").alias("c"), v.alias("v"))
+    session = df.sparkSession
+    parts = 4 * max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    total = distance_sums(points.filter("c IS NOT NULL AND v IS NOT NULL"), block, resident, parts).groupBy("id", "c", "other").agg(F.sum("total").alias("total"))
     n = points.groupBy(F.col("c").alias("other")).agg(F.count("*").alias("n"))
     own = F.col("c") == F.col("other")
     mean = total.join(n, "other").withColumn("mean", F.when(own, safe_divide(F.col("total"), F.col("n") - 1)).otherwise(F.col("total") / F.col("n")))
