@@ -3,9 +3,11 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from textlab.operators import clusters, validate
+from textlab.operators import clusters, tfidf, validate
 from textlab.plans import catalog, extra  # noqa: F401  extra adds its queries
+from textlab.plans.config import TfidfSpec, TokenSpec
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +78,45 @@ def test_silhouette_shuffles_no_pairs_of_blocks(spark):
     _, df = points(spark, 60)
     plain = df.selectExpr("vec_id AS id", "CAST(label AS long) AS c", "embedding AS v").filter("c IS NOT NULL")
     assert clusters.distance_sums(plain, 4, 64 << 20, 4).count() == plain.count() * 5
+
+
+SHARED_STEP = ["tfidf_top_terms_by_period"]
+
+
+@pytest.mark.parametrize("name", SHARED_STEP)
+def test_counts_and_weights_stay_with_their_row(spark, odd, name):
+    """Nothing is dealt by chunk, so no count or weight is shuffled before it is summed up."""
+    path, _ = odd
+    plan = catalog.QUERIES[name](spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id" not in plan
+    assert equals_sql(spark, odd, name)
+
+
+def fitted(spark, rows, **how):
+    df = spark.createDataFrame(rows, "chunk_id long, doc string, text string").repartition(3)
+    return tfidf.fit(df, TfidfSpec(**how), TokenSpec(), "doc", [])
+
+
+ROWS = [(1, "d", "aa aa bb cc"), (1, "d", "bb dd aa"), (1, "e", "cc ee"), (2, "e", "bb ff cc cc"), (3, "e", ""), (4, "e", None), (None, "d", "aa ee"), (None, "d", "ff aa bb")]
+
+
+@pytest.mark.parametrize("how", [{}, {"hashed_terms": 0}, {"hashed_terms": 0, "broadcast_terms": 0}])
+def test_weights_of_chunks_that_share_an_id(spark, how):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, lang VARCHAR, source VARCHAR, text VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, '1', ?, 0)", ROWS)
+    m = fitted(spark, ROWS, **how)
+    near = lambda rows: {(k, d[0], t): round(x, 6) for k, d, t, x in rows}
+    for table, value, got in (("counts", "n", m.counts), ("weights", "weight", m.weights)):
+        want = con.execute(f"WITH {catalog.TFIDF_SQL} SELECT chunk_id, doc, term, {value} FROM {table}").fetchall()
+        found = got.select("chunk_id", "doc", "term", value).collect()
+        assert len(found) == len(want) > 0 and near(found) == near(want)
+
+
+def test_hashes_that_meet_get_another_seed(spark, monkeypatch):
+    """Terms are told apart by hashes only if those of all terms differ."""
+    real = F.xxhash64
+    monkeypatch.setattr(tfidf.F, "xxhash64", lambda term, seed: real(term, seed) % F.when(seed == 0, 2).otherwise(1 << 40))
+    terms = spark.createDataFrame([(f"t{k}", k) for k in range(9)], "term string, df long")
+    seed, h, df = tfidf.hashed(terms.filter("df > 1"), terms)
+    assert seed == 1 and len(set(h.tolist())) == 7 and sorted(df.tolist()) == list(range(2, 9))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import first_of
 from ..sources import writers
@@ -16,6 +19,9 @@ from ..plans.config import TfidfSpec, TokenSpec
 # Patterns of addresses, numbers, single letters and single characters.
 URL, NUMBER, LETTER, CJK = r"^(https?://|www\.)", r"^[0-9０-９.,%％]+$", r"^[A-Za-zＡ-Ｚａ-ｚ]$", r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]$"
 
+#: Rows of weights that leave Python at once.
+ROWS = 1 << 16
+
 
 def keep_token(t: Column, spec: TokenSpec) -> Column:
     """Stop words go first, then preserved terms stay, then addresses, numbers and single characters go."""
@@ -81,20 +87,104 @@ class Tfidf:
     weights: DataFrame
 
 
-def fit(chunks: DataFrame, spec: TfidfSpec, token_spec: TokenSpec, document: str, groups: list[str], keep=keep_token) -> Tfidf:
-    """chunks: chunk_id, document, groups, text. The vocabulary may be empty, then so are the weights; require_vocabulary() makes that an error."""
-    base = chunks.select("chunk_id", document, *groups)
-    counts = chunks.select("chunk_id", document, *groups, F.explode(tokens(F.coalesce("text", F.lit("")), token_spec, keep)).alias("term")).groupBy("chunk_id", document, *groups, "term").agg(F.count("*").alias("n"))
-    counts = writers.stored(counts)  # tokens are taken from the texts once
-    total = base.agg(F.count("*").alias("total"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # one row
-    vocabulary = df.filter((F.col("df") >= spec.min_df) & (F.col("df") <= spec.max_df * F.col("total"))).withColumn("idf", F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1)
+def bags(chunks: DataFrame, keep: list[str], words: Column) -> DataFrame:
+    """The kept columns, terms and ns: the distinct words of a row with how often each occurs; counted in the task that reads the row."""
+    made = chunks.select(*keep, words.alias("terms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = b.column("terms")
+            coded = found.flatten().dictionary_encode()
+            width = max(len(coded.dictionary), 1)
+            row = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy())
+            key, n = np.unique(row * width + coded.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(key // width, minlength=len(found)))].astype(np.int32))
+            terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(key % width)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], terms, pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))], [*b.schema.names, "ns"])
+
+    return made.mapInArrow(run, StructType([*made.schema.fields, StructField("ns", ArrayType(IntegerType()))]))
+
+
+def flat(counted: DataFrame, keep: list[str]) -> DataFrame:
+    """One row for each term of a bag."""
+    return counted.select(*keep, F.explode(F.arrays_zip("terms", "ns")).alias("t")).select(*keep, F.col("t.terms").alias("term"), F.col("t.ns").cast("long").alias("n"))
+
+
+def hashed(vocabulary: DataFrame, every: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """A seed by which the hashes of every term differ; the vocabulary's hashes in order, and their df."""
+    seed = 0
+    while not every.groupBy(F.xxhash64("term", F.lit(seed))).count().filter("count > 1").isEmpty():
+        seed += 1
+    got = vocabulary.select(F.xxhash64("term", F.lit(seed)).alias("h"), F.col("df").cast("int").alias("df")).toArrow()
+    h, df = got.column("h").to_numpy(), got.column("df").to_numpy()
+    order = np.argsort(h)
+    return seed, h[order], df[order]
+
+
+def weighed(counted: DataFrame, keep: list[str], vocabulary: DataFrame, every: DataFrame, total: int) -> DataFrame:
+    """Weights of bags of which each is a chunk of its own; the vocabulary goes to them by its hashes."""
+    seed, h, df = hashed(vocabulary, every)
+    sent = counted.sparkSession.sparkContext.broadcast((h, df))
+    read = counted.select(*keep, "terms", "ns", F.transform("terms", lambda t: F.xxhash64(t, F.lit(seed))).alias("hs"))
+    names = [*keep, "term", "weight"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, dfs = sent.value
+        for b in batches:
+            terms, ns, hs = (b.column(c) for c in ("terms", "ns", "hs"))
+            coded = hs.flatten().dictionary_encode()  # a term is looked up once for a batch
+            own = coded.dictionary.to_numpy()
+            at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+            inside = known[at] == own if len(known) else np.zeros(len(own), bool)
+            idf = np.zeros(len(own))
+            idf[inside] = np.log((1 + total) / (1 + dfs[at[inside]])) + 1
+            codes = coded.indices.to_numpy()
+            left = np.flatnonzero(inside[codes])
+            row = np.repeat(np.arange(b.num_rows), ns.value_lengths().to_numpy())[left]
+            u = (1 + np.log(ns.flatten().to_numpy()[left])) * idf[codes[left]]
+            weight = u / np.sqrt(np.bincount(row, u * u, b.num_rows))[row]
+            words = terms.flatten()
+            for k in range(0, len(left), ROWS):
+                part = slice(k, k + ROWS)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(row[part])) for c in keep], words.take(pa.array(left[part])), pa.array(weight[part])], names)
+
+    return read.mapInArrow(run, StructType([*counted.select(*keep).schema.fields, StructField("term", StringType()), StructField("weight", DoubleType())]))
+
+
+def joined_weights(counts: DataFrame, keep: list[str], vocabulary: DataFrame, broadcast_terms: int) -> DataFrame:
+    """Weights of counts of any chunks and with any vocabulary, by shuffles of all counts."""
     weighted = vocabulary.select("term", "idf")
-    if spec.broadcast_terms and weighted.count() <= spec.broadcast_terms:
+    if broadcast_terms and weighted.count() <= broadcast_terms:
         weighted = F.broadcast(weighted)
     raw = counts.join(weighted, "term").withColumn("u", (1 + F.log("n")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("u") * F.col("u")).over(Window.partitionBy("chunk_id")))
-    return Tfidf(base, counts, vocabulary, raw.select("chunk_id", document, *groups, "term", (F.col("u") / length).alias("weight")))
+    return raw.select(*keep, "term", (F.col("u") / length).alias("weight"))
+
+
+def fit(chunks: DataFrame, spec: TfidfSpec, token_spec: TokenSpec, document: str, groups: list[str], keep=keep_token) -> Tfidf:
+    """chunks: chunk_id, document, groups, text. The vocabulary may be empty, then so are the weights; require_vocabulary() makes that an error.
+
+    Rows are counted and weighed where they are read; only those whose chunk_id isn't their own are joined by it.
+    """
+    columns = ["chunk_id", document, *groups]
+    base = chunks.select(*columns)
+    counted = writers.stored(bags(chunks, columns, tokens(F.coalesce("text", F.lit("")), token_spec, keep)))  # tokens are taken from the texts once
+    twice = counted.groupBy("chunk_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("chunk_id").alias("twice_id"))
+    counts, shared = flat(counted, columns), None
+    if not twice.isEmpty():
+        same = F.col("chunk_id").eqNullSafe(F.col("twice_id"))
+        shared = writers.stored(flat(counted.join(twice, same, "left_semi"), columns).groupBy(*columns, "term").agg(F.sum("n").alias("n")))
+        counted = counted.join(twice, same, "left_anti")
+        counts = flat(counted, columns).unionByName(shared)
+    every = writers.stored(counts.groupBy("term").agg(F.count("*").alias("df")))
+    total = base.agg(F.count("*").alias("total"))
+    vocabulary = every.crossJoin(F.broadcast(total)).filter((F.col("df") >= spec.min_df) & (F.col("df") <= spec.max_df * F.col("total"))).withColumn("idf", F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1)  # total: one row
+    if vocabulary.count() > spec.hashed_terms:
+        return Tfidf(base, counts, vocabulary, joined_weights(counts, columns, vocabulary, spec.broadcast_terms))
+    weights = weighed(counted, columns, vocabulary, every, base.count())
+    if shared is not None:
+        weights = weights.unionByName(joined_weights(shared, columns, vocabulary, spec.broadcast_terms))
+    return Tfidf(base, counts, vocabulary, weights)
 
 
 def require_vocabulary(m: Tfidf) -> Tfidf:

@@ -44,6 +44,8 @@ class TfidfSpec:
     top: int = 30
     #: Terms up to which the vocabulary is broadcast; a larger one is joined by a shuffle, where AQE splits frequent terms.
     broadcast_terms: int = 500_000
+    #: Terms up to which the vocabulary goes to the tasks as 12 bytes for each, so that counts stay where they are; beyond, broadcast_terms decides.
+    hashed_terms: int = 16_000_000
 
 
 @dataclass(frozen=True)
