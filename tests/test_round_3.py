@@ -120,3 +120,26 @@ def test_hashes_that_meet_get_another_seed(spark, monkeypatch):
     terms = spark.createDataFrame([(f"t{k}", k) for k in range(9)], "term string, df long")
     seed, h, df = tfidf.hashed(terms.filter("df > 1"), terms)
     assert seed == 1 and len(set(h.tolist())) == 7 and sorted(df.tolist()) == list(range(2, 9))
+
+
+def test_models_that_move_together_end_where_each_would_alone(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    _, df = points(spark, 300)
+    data = df.select("vec_id", array_to_vector("embedding").alias("features")).persist()
+    made = clusters.blocks(df.selectExpr("vec_id AS id", "0L AS c", "embedding AS v"), 64)
+    how = [(k, seed) for k in (2, 5) for seed in (1, 2, 3)]
+    starts = [KMeans(k=k, seed=seed, maxIter=0).fit(data).clusterCenters() for k, seed in how]
+    centres, costs = clusters.lloyd(made, starts, 50)
+    for (k, seed), c, cost in zip(how, centres, costs, strict=True):
+        alone = KMeans(k=k, seed=seed, maxIter=50).fit(data)
+        assert np.allclose(alone.clusterCenters(), c, atol=1e-9) and alone.summary.trainingCost == pytest.approx(cost)
+    data.unpersist()
+
+
+def test_centre_without_points_stays(spark):
+    df = spark.createDataFrame([(k, [float(k % 2), 0.0]) for k in range(6)], "vec_id long, embedding array<double>")
+    made = clusters.blocks(df.selectExpr("vec_id AS id", "0L AS c", "embedding AS v"), 4)
+    centres, costs = clusters.lloyd(made, [np.array([[0.1, 0.0], [0.9, 0.0], [9.0, 9.0]])])
+    assert centres[0].tolist() == [[0.0, 0.0], [1.0, 0.0], [9.0, 9.0]] and costs[0] == pytest.approx(0)

@@ -16,8 +16,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector over its norm; null for a zero vector."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n))
+    over = lambda n: F.when(n > 0, F.transform(a, lambda x: x / n))
+    return F.get(F.transform(F.array(norm(a)), over), F.lit(0))  # so the norm is taken once, not for each element
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import safe_divide
 from ..functions.vectors import distance, norm, unit
@@ -21,22 +22,76 @@ def normalised(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.withColumn(vector, v).withColumn(vector, F.when(norm(F.col(vector)) == 0, F.raise_error(F.lit("zero vector")).cast("array<double>")).otherwise(unit(F.col(vector))))
 
 
+def lloyd(made: DataFrame, starts: list[np.ndarray], most: int = 50, tol: float = 1e-4) -> tuple[list[np.ndarray], list[float]]:
+    """Centres of several KMeans models and their costs, as Spark ML's KMeans makes them from those starts: all models move in one pass over the blocks.
+
+    A model rests once none of its centres moves by more than tol; its cost is that of the last pass, before the centres moved.
+    """
+    centres, costs, moving = [np.asarray(c, float) for c in starts], [0.0] * len(starts), list(range(len(starts)))
+    for _ in range(most):
+        if not moving:
+            break
+        now = [centres[m] for m in moving]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every, first = np.vstack(now), np.cumsum([0, *map(len, now)])  # noqa: B023  run within this pass
+            square = (every * every).sum(1)
+            sums, sizes, cost = np.zeros_like(every), np.zeros(len(every)), np.zeros(len(first) - 1)
+            for b in batches:
+                for x in b.column("vectors"):
+                    v = np.frombuffer(x.as_buffer()).reshape(-1, every.shape[1])
+                    near, member = square - 2 * v @ every.T, np.zeros((len(v), len(every)))
+                    for m, (i, j) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                        at = near[:, i:j].argmin(1)
+                        member[np.arange(len(v)), i + at] = 1
+                        cost[m] += near[np.arange(len(v)), i + at].sum() + (v * v).sum()
+                    sums += member.T @ v
+                    sizes += member.sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sums, sizes, cost)], ["sums", "sizes", "cost"])
+
+        rows = made.select("vectors").mapInArrow(run, "sums binary, sizes binary, cost binary").collect()  # one row for each task
+        sums, sizes, cost = (sum(np.frombuffer(r[c]) for r in rows) for c in ("sums", "sizes", "cost"))
+        sums, at, still = sums.reshape(len(sizes), -1), 0, []
+        for m, old, own in zip(moving, now, cost, strict=True):
+            n, s = sizes[at : at + len(old), None], sums[at : at + len(old)]
+            centres[m], costs[m], at = np.where(n > 0, s / np.maximum(n, 1), old), float(own), at + len(old)
+            if (((centres[m] - old) ** 2).sum(1) > tol * tol).any():
+                still.append(m)
+        moving = still
+    return centres, costs
+
+
+def nearest(df: DataFrame, models: dict[int, np.ndarray], key: str, vector: str) -> DataFrame:
+    """k, key, prediction: the number of the nearest centre in each model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for k, c in models.items():
+                at = ((c * c).sum(1) - 2 * v @ c.T).argmin(1) if b.num_rows else np.zeros(0, int)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, k, np.int32)), b.column(key), pa.array(at.astype(np.int32))], ["k", key, "prediction"])
+
+    rows = df.select(key, F.transform(vector, lambda x: x.cast("double")).alias(vector))
+    return rows.mapInArrow(run, StructType([StructField("k", IntegerType()), rows.schema[key], StructField("prediction", IntegerType())]))
+
+
 def kmeans(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5), seeds: int = 20, seed: int = 42, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(k, key, cluster) of the cheapest of several runs for each k; clusters are numbered by their smallest key."""
+    """(k, key, cluster) of the cheapest of several runs for each k; clusters are numbered by their smallest key.
+
+    Each run has the start that Spark ML's KMeans takes for its seed; all runs move together.
+    """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    data = df.select(key, array_to_vector(vector).alias("features")).persist()  # fitted seeds times for each k; released below
-    out = None
-    for k in ks:
-        models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(data) for i in range(seeds)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        got = best.transform(data).select(F.lit(k).alias("k"), key, "prediction")
-        order = got.groupBy("k", "prediction").agg(F.min(key).alias("_least")).withColumn("cluster", F.row_number().over(Window.partitionBy("k").orderBy("_least")) - 1)
-        named = got.join(F.broadcast(order), ["k", "prediction"]).select("k", key, "cluster")  # k rows
-        out = named if out is None else out.unionByName(named)
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    data = df.select(key, array_to_vector(vector).alias("features")).persist()  # read by each start; released below
+    runs = [(k, KMeans(k=k, seed=seed + i, maxIter=0).fit(data).clusterCenters()) for k in ks for i in range(seeds)]
+    made = blocks(data.select(F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("c"), vector_to_array("features").alias("v")), 4096)
     data.unpersist()
-    return out
+    centres, costs = lloyd(made, [c for _, c in runs])
+    best = {k: centres[min((cost, m) for m, (cost, (of, _)) in enumerate(zip(costs, runs, strict=True)) if of == k)[1]] for k in ks}
+    got = writers.stored(nearest(df, best, key, vector))
+    order = got.groupBy("k", "prediction").agg(F.min(key).alias("_least")).withColumn("cluster", F.row_number().over(Window.partitionBy("k").orderBy("_least")) - 1)
+    return got.join(F.broadcast(order), ["k", "prediction"]).select("k", key, "cluster")  # k rows
 
 
 def assignments(long: DataFrame, ks: tuple[int, ...], key: str = "vec_id") -> DataFrame:
