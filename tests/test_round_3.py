@@ -80,7 +80,7 @@ def test_silhouette_shuffles_no_pairs_of_blocks(spark):
     assert clusters.distance_sums(plain, 4, 64 << 20, 4).count() == plain.count() * 5
 
 
-SHARED_STEP = ["tfidf_top_terms_by_period", "tfidf_weights", "tfidf_top_terms_by_type", "tfidf_group_scores", "contrast_bars", "contrast_by_size", "tfidf_presentation_terms", "tfidf_contrast", "top_term_bars"]
+SHARED_STEP = ["tfidf_top_terms_by_period", "tfidf_weights", "tfidf_top_terms_by_type", "tfidf_group_scores", "contrast_bars", "contrast_by_size", "tfidf_presentation_terms", "tfidf_contrast", "top_term_bars", "tfidf_document_scores"]
 
 
 @pytest.mark.parametrize("name", SHARED_STEP)
