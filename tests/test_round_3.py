@@ -143,3 +143,12 @@ def test_centre_without_points_stays(spark):
     made = clusters.blocks(df.selectExpr("vec_id AS id", "0L AS c", "embedding AS v"), 4)
     centres, costs = clusters.lloyd(made, [np.array([[0.1, 0.0], [0.9, 0.0], [9.0, 9.0]])])
     assert centres[0].tolist() == [[0.0, 0.0], [1.0, 0.0], [9.0, 9.0]] and costs[0] == pytest.approx(0)
+
+
+def test_words_of_a_row_are_counted_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "b a b"), (2, ""), (3, "c")], "chunk_id long, text string")
+    made = tfidf.bags(df, ["chunk_id"], tfidf.tokens(F.col("text"), TokenSpec(one_letter=True)))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["chunk_id"]: dict(zip(r["terms"], r["ns"], strict=True)) for r in made.collect()}
+    assert got == {1: {"a": 1, "b": 2}, 2: {}, 3: {"c": 1}}
+    assert sorted(tuple(r) for r in tfidf.flat(made, ["chunk_id"]).collect()) == [(1, "a", 1), (1, "b", 2), (3, "c", 1)]
