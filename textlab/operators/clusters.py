@@ -197,7 +197,7 @@ def distance_sums(points: DataFrame, block: int, resident: int, parts: int) -> D
 
 
 def silhouette(df: DataFrame, cluster: str, key: str, vector: str = "embedding", block: int = 4096, resident: int = 64 << 20) -> DataFrame:
-    """Mean Euclidean silhouette over all points, exact and so quadratic in time: blocks of points meet block by block in numpy. Shuffled are the points, once, and their sums by cluster.
+    """Mean Euclidean silhouette over all points, exact and so quadratic in time: blocks of points meet block by block in numpy. Shuffled are the points, once, and their sums by cluster, once for each share of resident bytes.
 
     At scale use ClusteringEvaluator, whose squared variant needs the centroids only.
     """
